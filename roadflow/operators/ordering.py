@@ -25,33 +25,38 @@ def _keyed(keys: Sequence[str]):
     return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
 
-def with_neighbour(
+def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
     columns: Sequence[str],
-    name: str = "prev",
-    forward: bool = False,
+    prev: str | None = "prev",
+    following: str | None = None,
 ) -> DataFrame:
-    """Add ``name``: a struct of ``columns`` from the previous (or next) row of the key, null at the end."""
+    """Add structs of ``columns`` from the previous and/or next row of the same key, null at the ends."""
     order = list(order)
-    payload = F.struct(*[F.col(c) for c in columns])
-    ordered = F.struct(*[F.col(c) for c in order])
-    rows = df.withColumn(_BLOCK, block).withColumn("__payload", payload)
-    edge = (F.min if forward else F.max)(F.struct(*[F.col(c) for c in order], F.col("__payload")))
-    edges = rows.groupBy(*keys, _BLOCK).agg(edge.alias("__edge"))
-    step = F.lead if forward else F.lag
-    carries = (
-        edges.withColumn("__edge", step("__edge").over(_keyed(keys).orderBy(_BLOCK)))
-        .where("__edge IS NOT NULL")
-        .select(*keys, _BLOCK, *[F.col(f"__edge.{c}").alias(c) for c in order if c not in keys],
-                F.col("__edge.__payload").alias("__payload"), F.lit(True).alias(_CARRY))
+    rows = df.withColumn(_BLOCK, block).withColumn("__payload", F.struct(*[F.col(c) for c in columns]))
+    edge = F.struct(*[F.col(c) for c in order], F.col("__payload"))
+    wanted = [(prev, F.max, F.lag), (following, F.min, F.lead)]
+    edges = rows.groupBy(*keys, _BLOCK).agg(
+        *[pick(edge).alias(f"__{name}") for name, pick, _ in wanted if name]
     )
-    both = rows.withColumn(_CARRY, F.lit(False)).unionByName(carries, allowMissingColumns=True)
+    both = rows.withColumn(_CARRY, F.lit(False))
+    between = _keyed(keys).orderBy(_BLOCK)
+    for name, _, step in wanted:
+        if name is None:
+            continue
+        carries = (
+            edges.select(*keys, _BLOCK, step(f"__{name}").over(between).alias("__edge"))
+            .where("__edge IS NOT NULL")
+            .select(*keys, _BLOCK, *[F.col(f"__edge.{c}").alias(c) for c in order if c not in keys],
+                    F.col("__edge.__payload").alias("__payload"), F.lit(True).alias(_CARRY))
+        )
+        both = both.unionByName(carries, allowMissingColumns=True)
     inside = W.partitionBy(*keys, _BLOCK).orderBy(*order)
     return (
-        both.withColumn(name, step("__payload").over(inside))
+        both.withColumns({name: step("__payload").over(inside) for name, _, step in wanted if name})
         .where(~F.col(_CARRY))
         .drop(_BLOCK, _CARRY, "__payload")
     )

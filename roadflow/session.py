@@ -20,7 +20,7 @@ def build_session(app: str = "roadflow", master: str | None = None, cores: int |
     if cores:
         builder = builder.config("spark.sql.shuffle.partitions", str(cores))
         builder = builder.config("spark.driver.memory", os.environ.get("ROADFLOW_DRIVER_MEMORY", "16g"))
-        builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
