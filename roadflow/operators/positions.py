@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import mps_to_kph, polyline_point
+from roadflow.session import cut_lineage
 
 SEGMENT = ["node_from", "node_to"]
 
@@ -51,82 +52,70 @@ def gps_points(records: DataFrame, nodes: DataFrame, lines: DataFrame | None = N
     )
 
 
-def _cell(lon: Column, lat: Column, size: Column) -> list[Column]:
+def _cell(lon: Column, lat: Column, size: float) -> list[Column]:
     return [F.floor(lon / size).cast("bigint").alias("cx"), F.floor(lat / size).cast("bigint").alias("cy")]
 
 
-def _haversine_key(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Monotone in the great-circle distance, without the final arc sine."""
+def _distance_key(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Haversine term: grows with the great-circle distance."""
     a = F.sin(F.radians(lat2 - lat1) / 2)
     b = F.sin(F.radians(lon2 - lon1) / 2)
     return a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, levels: int = 18, coarse_deg: float = 360.0) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4, max_levels: int = 18) -> DataFrame:
     """Nearest node of each point by great-circle distance, ties to the smaller id.
 
-    ``points(point_id, lon, lat)``.  Equal places are searched once.  The search
-    descends a quadtree of the nodes: at each level a place keeps the non-empty
-    cells that may still hold the nearest node.  A cell is dropped when its
-    closest corner of the bounding box lies farther away than the farthest
-    corner of another kept cell.  So a dense cell splits instead of being
-    compared node by node, and the number of candidates stays small.
-    """
-    from roadflow.session import cut_lineage
+    ``points(point_id, lon, lat)``, ``nodes(node_id, lon, lat)``; boxes do not
+    wrap the date line.  Equal places are searched once.
 
-    places = points.select("lon", "lat").distinct().select(F.col("lon").alias("x"), F.col("lat").alias("y"))
-    places = places.withColumn("place", F.struct("x", "y"))
+    The search descends a grid tree of the nodes.  Per place it keeps the
+    non-empty cells that may hold the nearest node: a cell goes when the nearest
+    edge of its bounding box lies beyond the farthest corner of another kept
+    cell.  A crowded cell splits instead of being compared node by node, until
+    every kept cell holds one node.
+    """
     unique = nodes.groupBy("lon", "lat").agg(F.min("node_id").alias("node_id"))
 
     def boxes(level: int) -> DataFrame:
-        size = F.lit(coarse_deg / (2 ** level))
-        return unique.groupBy(*_cell(F.col("lon"), F.col("lat"), size)).agg(
+        return unique.groupBy(*_cell(F.col("lon"), F.col("lat"), 360.0 / fan**level)).agg(
             F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"),
-            F.count("*").alias("n"), F.min_by("node_id", F.struct("lon", "lat", "node_id")).alias("node_id"),
+            F.count("*").alias("n"), F.min("node_id").alias("node_id"),
         )
 
-    x, y = F.col("place.x"), F.col("place.y")
-    near_x = F.least(F.greatest(x, F.col("x0")), F.col("x1"))
-    near_y = F.least(F.greatest(y, F.col("y0")), F.col("y1"))
-    # Lower bound: latitude difference or longitude difference at the flattest latitude involved.
-    dy = F.sin(F.radians(near_y - y) / 2)
-    dx = F.sin(F.radians(near_x - x) / 2)
-    flat = F.least(F.cos(F.radians(F.col("y0"))), F.cos(F.radians(F.col("y1"))))
-    low = dy * dy + F.cos(F.radians(y)) * flat * dx * dx
-    corners = [_haversine_key(x, y, F.col(a), F.col(b)) for a in ("x0", "x1") for b in ("y0", "y1")]
-    # The farthest node of a box is no farther than its worst corner for boxes below a hemisphere;
-    # the middle latitude of a wide box is covered by the equator term.
-    wide = F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1")))
-    span = F.sin(F.radians(wide) / 2)
-    tall = F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1")))
-    rise = F.sin(F.radians(tall) / 2)
-    steep = F.when((F.col("y0") <= 0) & (F.col("y1") >= 0), F.lit(1.0)).otherwise(
-        F.greatest(F.cos(F.radians(F.col("y0"))), F.cos(F.radians(F.col("y1"))))
-    )
-    high = F.greatest(*corners, rise * rise + F.cos(F.radians(y)) * steep * span * span)
+    x, y = F.col("x"), F.col("y")
+
+    def half_sine_squared(degrees: Column) -> Column:
+        h = F.sin(F.radians(degrees) / 2)
+        return h * h
+
+    cos0, cos1 = F.cos(F.radians(F.col("y0"))), F.cos(F.radians(F.col("y1")))
+    crosses_equator = (F.col("y0") <= 0) & (F.col("y1") >= 0)
+    near = half_sine_squared(F.greatest(F.col("y0") - y, y - F.col("y1"), F.lit(0.0))) + F.cos(F.radians(y)) * F.least(
+        cos0, cos1
+    ) * half_sine_squared(F.greatest(F.col("x0") - x, x - F.col("x1"), F.lit(0.0)))
+    far = half_sine_squared(F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1")))) + F.cos(F.radians(y)) * F.when(
+        crosses_equator, F.lit(1.0)
+    ).otherwise(F.greatest(cos0, cos1)) * half_sine_squared(F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1"))))
 
     def prune(pairs: DataFrame) -> DataFrame:
-        scored = pairs.withColumns({"low": low, "high": high})
-        best = scored.groupBy("place").agg(F.min("high").alias("bound"))
-        kept = scored.join(best, "place").where(F.col("low") <= F.col("bound") * (1 + 1e-12) + 1e-18)
-        return kept.select("place", "cx", "cy", "n", "node_id")
-
-    done = None
-    top = boxes(0).withColumn("k", F.lit(1))
-    state = prune(places.select("place").withColumn("k", F.lit(1)).join(top, "k").drop("k"))
-    for level in range(1, levels + 1):
-        if level % 6 == 0:
-            state = cut_lineage(state)
-        child = boxes(level).withColumns({"px": F.floor(F.col("cx") / 2), "py": F.floor(F.col("cy") / 2)})
-        parents = state.select("place", F.col("cx").alias("px"), F.col("cy").alias("py"))
-        state = prune(parents.join(child, ["px", "py"]))
-    cells = state.select("place", "cx", "cy")
-    size = F.lit(coarse_deg / (2 ** levels))
-    leaves = unique.select("node_id", "lon", "lat", *_cell(F.col("lon"), F.col("lat"), size))
-    scored = cells.join(leaves, ["cx", "cy"]).withColumn(
-        "d", _haversine_key(F.col("place.x"), F.col("place.y"), F.col("lon"), F.col("lat"))
-    )
-    best = scored.groupBy("place").agg(F.min(F.struct("d", "node_id")).alias("b")).select(
-        F.col("place.x").alias("lon"), F.col("place.y").alias("lat"), F.col("b.node_id").alias("node_id")
+        """Drop cells that cannot hold the nearest node; the slack absorbs rounding."""
+        bound = pairs.groupBy("x", "y").agg(F.min(far).alias("bound"))
+        kept = pairs.join(bound, ["x", "y"]).where(near <= F.col("bound") * (1 + 1e-9) + 1e-18)
+        return cut_lineage(kept.drop("bound"))
+
+    roots = F.array(*[F.struct(F.lit(a).cast("bigint").alias("cx"), F.lit(b).cast("bigint").alias("cy")) for a in (-1, 0) for b in (-1, 0)])
+    places = points.select(F.col("lon").alias("x"), F.col("lat").alias("y")).distinct()
+    state = prune(places.select("x", "y", F.inline(roots)).join(boxes(0), ["cx", "cy"]))
+    for level in range(1, max_levels + 1):
+        crowded = state.where("n > 1")
+        if crowded.isEmpty():
+            break
+        child = boxes(level).withColumns({"px": F.floor(F.col("cx") / fan), "py": F.floor(F.col("cy") / fan)})
+        split = crowded.select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")).join(child, ["px", "py"])
+        state = prune(split.drop("px", "py").unionByName(state.where("n = 1")))
+    scored = state.select("x", "y", "node_id", _distance_key(x, y, F.col("x0"), F.col("y0")).alias("d"))
+    best = scored.groupBy("x", "y").agg(F.min(F.struct("d", "node_id")).alias("b")).select(
+        x.alias("lon"), y.alias("lat"), F.col("b.node_id").alias("node_id")
     )
     return points.join(best, ["lon", "lat"]).select("point_id", "node_id")
