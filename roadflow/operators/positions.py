@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,10 +106,23 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4, max_levels:
         kept = pairs.join(bound, ["x", "y"]).where(near <= F.col("bound") * (1 + 1e-9) + 1e-18)
         return cut_lineage(kept.drop("bound"))
 
-    roots = F.array(*[F.struct(F.lit(a).cast("bigint").alias("cx"), F.lit(b).cast("bigint").alias("cy")) for a in (-1, 0) for b in (-1, 0)])
+    extent = unique.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    if extent[0] is None:
+        return points.select("point_id", F.lit(None).cast("bigint").alias("node_id")).where(F.lit(False))
+    widest = max(extent[1] - extent[0], extent[3] - extent[2], 1e-9)
+    start = max(0, math.floor(math.log(360.0 / widest, fan)))
+    size = 360.0 / fan**start
+
+    def cells_between(low: float, high: float) -> Column:
+        return F.sequence(F.lit(math.floor(low / size)).cast("bigint"), F.lit(math.floor(high / size)).cast("bigint"))
+
+    # The tree starts where the extent fits into at most two cells each way.
     places = points.select(F.col("lon").alias("x"), F.col("lat").alias("y")).distinct()
-    state = prune(places.select("x", "y", F.inline(roots)).join(boxes(0), ["cx", "cy"]))
-    for level in range(1, max_levels + 1):
+    roots = places.withColumn("cx", F.explode(cells_between(extent[0], extent[1]))).withColumn(
+        "cy", F.explode(cells_between(extent[2], extent[3]))
+    )
+    state = prune(roots.join(boxes(start), ["cx", "cy"]))
+    for level in range(start + 1, max_levels + 1):
         crowded = state.where("n > 1")
         if crowded.isEmpty():
             break
