@@ -49,13 +49,13 @@ labels(request_id, node, cost) USING KEY (request_id, node) AS (
 @query(
     "distances_from_hub_g1",
     i.sql_with(i.ROAD_SQL, WEIGHTS_SQL, "requests AS (SELECT CAST(0 AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS origin)", SEARCH_SQL)
-    + "SELECT request_id, node, round(cost, 6) AS cost FROM labels",
+    + "SELECT request_id, node, round(cost, 3) AS cost FROM labels",
 )
 def distances_from_hub(spark, folder):
     hub = i.table(spark, folder, "part").agg(F.min("p_partkey").cast("bigint").alias("origin")).select(
         F.lit(0).cast("bigint").alias("request_id"), "origin"
     )
-    return routing.distances(lengths(spark, folder), hub).withColumn("cost", F.round("cost", 6))
+    return routing.distances(lengths(spark, folder), hub).withColumn("cost", F.round("cost", 3))
 
 
 @query(

@@ -100,11 +100,11 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4, max_levels:
         crosses_equator, F.lit(1.0)
     ).otherwise(F.greatest(cos0, cos1)) * half_sine_squared(F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1"))))
 
-    def prune(pairs: DataFrame) -> DataFrame:
+    def prune(pairs: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         """Drop cells that cannot hold the nearest node; the slack absorbs rounding."""
         bound = pairs.groupBy("x", "y").agg(F.min(far).alias("bound"))
         kept = pairs.join(bound, ["x", "y"]).where(near <= F.col("bound") * (1 + 1e-9) + 1e-18)
-        return cut_lineage(kept.drop("bound"))
+        return cut_lineage(kept.drop("bound"), replaces)
 
     extent = unique.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     if extent[0] is None:
@@ -128,7 +128,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4, max_levels:
             break
         child = boxes(level).withColumns({"px": F.floor(F.col("cx") / fan), "py": F.floor(F.col("cy") / fan)})
         split = crowded.select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")).join(child, ["px", "py"])
-        state = prune(split.drop("px", "py").unionByName(state.where("n = 1")))
+        state = prune(split.drop("px", "py").unionByName(state.where("n = 1")), state)
     scored = state.select("x", "y", "node_id", _distance_key(x, y, F.col("x0"), F.col("y0")).alias("d"))
     best = scored.groupBy("x", "y").agg(F.min(F.struct("d", "node_id")).alias("b")).select(
         x.alias("lon"), y.alias("lat"), F.col("b.node_id").alias("node_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +30,40 @@ def build_session(app: str = "roadflow", master: str | None = None, cores: int |
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a scratch folder only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a scratch folder only where none is set."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="roadflow-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="roadflow-")
+        context.setCheckpointDir(named)
+    return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so that an iteration restarts from there.
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    A reliable checkpoint survives the loss of executors, which executor-local
-    copies do not.
+    Later steps restart from the table, also after executors are lost.  A
+    written table beats a checkpoint here: it is columnar, later steps read only
+    the columns they use, and it carries no constraints of the plan behind it,
+    which would grow with every round of an iteration.  ``replaces`` names an
+    earlier result of this function that is no longer needed and is removed.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/roadflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.roadflow_path = path
+    if replaces is not None:
+        discard(replaces)
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table written by ``cut_lineage``."""
+    path = getattr(table, "roadflow_path", None)
+    if path is None:
+        return
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
