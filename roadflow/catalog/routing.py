@@ -98,7 +98,7 @@ routes AS (SELECT id AS request_id, osm_route AS path FROM vehicles),
 links AS (SELECT request_id, path[j] AS node_from, path[j + 1] AS node_to
           FROM routes, LATERAL (SELECT unnest(range(1, len(path))) AS j)),
 street_state AS (
-  SELECT *, CASE WHEN (node_from + node_to) % 37 = 0 THEN 0 ELSE max_speed_kph END AS speed_kph FROM streets WHERE node_from % 41 <> 3)
+  SELECT *, CASE WHEN (node_from + node_to) % 37 = 0 THEN 0 ELSE max_speed_kph END AS speed_kph FROM streets WHERE length_m < 960)
 """
 
 
@@ -107,7 +107,7 @@ def street_state(spark, folder):
     from roadflow.functions.scalars import travel_time
 
     speed = F.when((F.col("node_from") + F.col("node_to")) % 37 == 0, 0).otherwise(F.col("max_speed_kph"))
-    return i.streets(spark, folder).where("node_from % 41 <> 3").withColumn("speed_kph", speed).withColumn(
+    return i.streets(spark, folder).where("length_m < 960").withColumn("speed_kph", speed).withColumn(
         "travel_time_s", travel_time(F.col("length_m"), F.col("speed_kph"))
     )
 

@@ -1,0 +1,285 @@
+"""The step loop: the reference's run of a whole simulation as repeated Spark jobs.
+
+Each step is a fixed set of joins and aggregates over the vehicle, queue, view
+and segment tables.  The tables are written to the shared folder at the end of
+the step, so a step restarts from there when executors are lost; only the clock
+and a few counters come back to the driver.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadflow.operators import movement, network, observations, routing, vehicles
+from roadflow.operators.ordering import global_rank
+from roadflow.session import cut_lineage, discard
+
+SEGMENT = ["node_from", "node_to"]
+QUEUE_SCHEMA = "node_from bigint, node_to bigint, vehicle_id bigint, pos struct<step:int,phase:int,rank:bigint>"
+OPENED_SCHEMA = "node_from bigint, node_to bigint, opened struct<step:int,sub:int,phase:int,rank:bigint>"
+VIEW_SCHEMA = (
+    "seq struct<step:int,phase:int,major:bigint,sample:int>, timestamp bigint, node_from bigint, node_to bigint, "
+    "segment_length int, vehicle_id bigint, offset_m double, speed_mps double, status string, active boolean"
+)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Run settings; durations in microseconds."""
+
+    departure_time: str = "2021-01-01 00:00:00"
+    round_us: int = 5_000_000
+    tolerance_us: int = 5_000_000
+    map_update_us: int = 1_000_000
+    k_alternatives: int = 1
+    travel_time_limit: float | None = 0.0
+    seed: int = 0
+    stuck_rounds: int = 0
+    plateau_default_route: bool = False
+    max_steps: int | None = None
+
+
+@dataclass
+class State:
+    """Everything that changes from step to step."""
+
+    vehicles: DataFrame
+    queue: DataFrame
+    opened: DataFrame
+    view: DataFrame
+    segments: DataFrame
+    state: DataFrame
+    step: int = 0
+    clock_us: int | None = None
+    map_id: int = 0
+    steps: list[dict] = field(default_factory=list)
+
+
+# A provider maps (requests, state, k) to routes(request_id, rank, cost, path).
+Provider = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def fastest(requests: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    return routing.k_best_paths(routing.weighted(state, F.col("travel_time_s")), requests, k)
+
+
+def shortest(requests: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    from roadflow.functions.scalars import segment_weight
+
+    weight = segment_weight(F.col("length_m"), F.col("node_from"), F.col("node_to"))
+    return routing.k_best_paths(routing.weighted(state, weight), requests, k).withColumn("cost", F.lit(None).cast("double"))
+
+
+def plateau(requests: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    return routing.plateau_paths(routing.weighted(state, F.col("travel_time_s")), requests, k)
+
+
+PROVIDERS: dict[str, Provider] = {
+    "dijkstra_fastest": fastest, "dijkstra_shortest": shortest, "plateau_fastest": plateau,
+}
+
+
+def start(spark: SparkSession, fleet: DataFrame, segments: DataFrame) -> State:
+    """State before the first step; ``fleet`` may carry ``alternatives`` and ``route_selection``."""
+    for name, value in (("alternatives", "default"), ("route_selection", "no_alternative")):
+        if name not in fleet.columns:
+            fleet = fleet.withColumn(name, F.lit(value))
+    if "tt_s" not in fleet.columns:
+        fleet = fleet.withColumns(
+            {"tt_s": F.lit(None).cast("double"), "tt_map_id": F.lit(None).cast("int"), "tt_index": F.lit(None).cast("int")}
+        )
+    segments = cut_lineage(segments)
+    return State(
+        cut_lineage(fleet), spark.createDataFrame([], QUEUE_SCHEMA), spark.createDataFrame([], OPENED_SCHEMA),
+        spark.createDataFrame([], VIEW_SCHEMA), segments, cut_lineage(network.initial_state(segments)),
+    )
+
+
+def _now(settings: Settings, clock_us: int):
+    return F.expr(f"timestampadd(MICROSECOND, {clock_us}, TIMESTAMP_NTZ'{settings.departure_time}')")
+
+
+def _reroute(state: State, settings: Settings, moving: DataFrame) -> tuple[DataFrame, int]:
+    """Ask the providers for vehicles at a segment end and switch routes that pay off."""
+    ready = vehicles.with_segments(moving, state.segments, state.state)
+    asking = cut_lineage(vehicles.needs_route(ready).select(moving.columns))
+    count = asking.count()
+    if not count:
+        return state.vehicles, 0
+    chosen = None
+    for kind, provider in PROVIDERS.items():
+        mine = asking.where(F.col("alternatives") == kind)
+        if mine.isEmpty():
+            continue
+        requests = vehicles.routing_positions(mine).select(
+            F.col("id").alias("request_id"), F.col("routing_origin").alias("origin"), F.col("dest_node").alias("dest")
+        ).where("origin <> dest")
+        found = provider(requests, state.state, settings.k_alternatives)
+        sets = found.groupBy(F.col("request_id").alias("id")).agg(
+            F.sort_array(F.collect_list(F.struct("rank", "path", F.col("cost").alias("time_s")))).alias("routes")
+        )
+        picked = mine.join(sets, "id").withColumn("r", vehicles.choose_route(
+            F.col("routes"), F.col("route_selection"), F.col("id"), state.step, settings.seed
+        )).select("id", "r.path", "r.time_s")
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+    if chosen is None:
+        return state.vehicles, count
+    chosen = cut_lineage(chosen)
+    timed = state.vehicles.join(chosen.select("id"), "id", "left_semi")
+    others = state.vehicles.join(chosen.select("id"), "id", "left_anti")
+    fresh = vehicles.refresh_travel_times(timed, state.state, state.map_id)
+    switched = vehicles.switch_routes(fresh, chosen, state.state, state.map_id, settings.travel_time_limit)
+    return cut_lineage(others.unionByName(switched.select(state.vehicles.columns))), count
+
+
+def _numbered(rows: DataFrame, opened: DataFrame) -> DataFrame:
+    """Order of movers by the age of their queue, then by place: ``major``; others by vehicle number."""
+    movers = rows.where(F.col("phase") == movement.MOVER)
+    aged = movers.join(
+        opened.select(F.col("node_from").alias("q_from"), F.col("node_to").alias("q_to"), "opened"), ["q_from", "q_to"], "left"
+    ).withColumn("born_step", F.col("opened.step"))
+    ranked = global_rank(
+        aged, ["opened", "pos"], F.struct("born_step", F.floor(F.col("opened.rank") / 1024).alias("part")), "major"
+    ).drop("opened", "born_step")
+    return rows.where(F.col("phase") != movement.MOVER).withColumn("major", F.col("id")).unionByName(ranked)
+
+
+def step(state: State, settings: Settings, restrictions: DataFrame | None, memory: dict) -> tuple[State, DataFrame] | None:
+    """One step; ``None`` when the run is over.  Returns the new state and the new records.
+
+    The tables of the old state are removed once the new ones are written.
+    """
+    began = time.time()
+    clock = state.clock_us
+    if settings.stuck_rounds and clock - memory["last_moved"] >= settings.round_us * settings.stuck_rounds and not memory["moved"]:
+        return None
+    segment_state, map_id = state.state, state.map_id
+    if restrictions is not None:
+        before = memory.get("restricted")
+        changes = network.restriction_changes(
+            restrictions, state.segments, _now(settings, clock), None if before is None else _now(settings, before)
+        )
+        segment_state = cut_lineage(network.apply_restrictions(segment_state, changes))
+        memory["restricted"] = clock
+    touched = state.view.select(*SEGMENT)
+    if memory.get("touched") is not None:
+        touched = touched.unionByName(memory["touched"])
+    touched = touched.distinct()
+    if clock - memory["map_update"] < settings.map_update_us:
+        memory["touched"] = cut_lineage(touched, replaces=memory.get("touched"))
+    else:
+        kept = state.view.where(F.col("timestamp") >= clock)
+        speeds = touched.join(observations.segment_speed(kept), SEGMENT, "left")
+        segment_state = cut_lineage(network.apply_speeds(segment_state, speeds))
+        map_id += 1
+        memory["map_update"] = clock
+        if memory.get("touched") is not None:
+            discard(memory.pop("touched"))
+    current = State(**{**state.__dict__, "state": segment_state, "map_id": map_id})
+    moving = vehicles.due(state.vehicles, clock, settings.round_us)
+    fleet, asked = _reroute(current, settings, moving)
+    moving = vehicles.due(fleet, clock, settings.round_us)
+    view = state.view.where(F.col("timestamp") >= clock)
+    rows = cut_lineage(movement.advance(moving, state.queue, view, state.segments, segment_state, settings.tolerance_us))
+    looked_up = rows.select(
+        F.col("q_from").alias("node_from"), F.col("q_to").alias("node_to"),
+        F.struct(F.lit(state.step).alias("step"), F.lit(0).alias("sub"), F.lit(0).alias("phase"), F.col("id").alias("rank")).alias("opened"),
+    )
+    opened = state.opened.unionByName(looked_up).groupBy(*SEGMENT).agg(F.min("opened").alias("opened"))
+    numbered = _numbered(rows, opened)
+    arrivals = numbered.where("joins").select(
+        F.get("osm_route", F.col("new_index")).alias("node_from"), F.get("osm_route", F.col("new_index") + 1).alias("node_to"),
+        F.col("id").alias("vehicle_id"), F.struct(F.lit(state.step).alias("step"), "phase", F.col("major").alias("rank")).alias("pos"),
+    )
+    added = arrivals.select(*SEGMENT, F.struct(
+        F.lit(state.step).alias("step"), F.lit(1).alias("sub"), F.col("pos.phase").alias("phase"), F.col("pos.rank").alias("rank")
+    ).alias("opened"))
+    opened = opened.unionByName(added).groupBy(*SEGMENT).agg(F.min("opened").alias("opened"))
+    keys = numbered.select(F.col("id").alias("vehicle_id"), "major")
+    fresh = movement.records(rows).join(keys, "vehicle_id").select(
+        F.struct(F.lit(state.step).alias("step"), "phase", "major", "sample").alias("seq"), "timestamp", *SEGMENT,
+        F.col("segment_length").cast("int").alias("segment_length"), "vehicle_id", "offset_m", "speed_mps", "status", "active",
+    )
+    fresh = cut_lineage(fresh)
+    moved = rows.agg(
+        F.coalesce(F.bool_or((F.col("new_index") != F.col("start_index")) | (F.col("new_m") != F.col("start_distance_offset"))), F.lit(False)).alias("moved"),
+        F.count("*").alias("n"),
+    ).first()
+    planned = restrictions is not None and not network.planned_restrictions(restrictions, _now(settings, clock)).isEmpty()
+    memory["moved"] = bool(moved.moved or planned)
+    if memory["moved"]:
+        memory["last_moved"] = clock
+    new_fleet = cut_lineage(movement.moved_vehicles(fleet, rows))
+    after = State(
+        new_fleet, cut_lineage(movement.queue_after(state.queue, rows, arrivals)), cut_lineage(opened),
+        cut_lineage(view.unionByName(fresh)), state.segments, segment_state, state.step + 1, None, map_id, state.steps,
+    )
+    after.clock_us = vehicles.clock(new_fleet).first().clock_us
+    after.steps = [*state.steps, {
+        "step": state.step, "simulation_offset_us": after.clock_us, "n_active": moved.n,
+        "duration_ms": (time.time() - began) * 1000, "need_new_route": asked,
+    }]
+    for old in (rows, state.vehicles, state.queue, state.opened, state.view):
+        discard(old)
+    return after, fresh
+
+
+def run(
+    state: State, settings: Settings, restrictions: DataFrame | None = None, sink: str | None = None,
+    hooks: list[Callable[[State], None]] | None = None,
+) -> tuple[State, DataFrame]:
+    """Advance until nobody is active, the run is stuck, or ``max_steps`` is reached.
+
+    With ``sink`` the records are appended there as parquet; the returned
+    records are the whole history in either case.
+    """
+    spark = state.vehicles.sparkSession
+    if state.clock_us is None:
+        state.clock_us = vehicles.clock(state.vehicles).first().clock_us
+    if settings.plateau_default_route and state.step == 0:
+        asking = state.vehicles.where("osm_route IS NOT NULL")
+        requests = vehicles.routing_positions(asking).select(
+            F.col("id").alias("request_id"), F.col("routing_origin").alias("origin"), F.col("dest_node").alias("dest")
+        )
+        found = plateau(requests, state.state, 1).select(F.col("request_id").alias("id"), "path")
+        state.vehicles = cut_lineage(vehicles.baseline_routes(state.vehicles, found))
+        state.clock_us = vehicles.clock(state.vehicles).first().clock_us
+    # An all-zero start counts as clock 0; later a missing clock ends the run.
+    if state.clock_us is None and not vehicles.unfinished(state.vehicles).isEmpty():
+        state.clock_us = 0
+    memory = {"map_update": state.clock_us, "last_moved": state.clock_us, "moved": True}
+    parts: list[DataFrame] = []
+    while state.clock_us is not None and (settings.max_steps is None or state.step < settings.max_steps):
+        outcome = step(state, settings, restrictions, memory)
+        if outcome is None:
+            break
+        before, (state, fresh) = state.clock_us, outcome
+        if sink is not None:
+            fresh.write.mode("append").parquet(sink)
+        else:
+            parts.append(fresh)
+        for hook in hooks or []:
+            hook(state)
+        if state.clock_us == before:
+            break
+    if sink is not None:
+        return state, spark.read.schema(VIEW_SCHEMA).parquet(sink) if state.step else spark.createDataFrame([], VIEW_SCHEMA)
+    history = spark.createDataFrame([], VIEW_SCHEMA)
+    for part in parts:
+        history = history.unionByName(part)
+    return state, history
+
+
+def stored_form(history: DataFrame) -> DataFrame:
+    """Records as they are stored: whole seconds, single-precision offset and speed, and one sequence number."""
+    block = F.struct(F.col("seq.step").alias("s"), F.col("seq.phase").alias("p"), F.floor(F.col("seq.major") / 65536).alias("m"))
+    ranked = global_rank(history, ["seq"], block, "n")
+    return ranked.select(
+        (F.col("n") - 1).alias("seq"), F.floor(F.col("timestamp") / 1000000).alias("timestamp"), *SEGMENT, "segment_length",
+        "vehicle_id", F.col("offset_m").cast("float").alias("start_offset_m"), F.col("speed_mps").cast("float").alias("speed_mps"), "active",
+    )

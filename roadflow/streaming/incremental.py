@@ -1,0 +1,195 @@
+"""Structured Streaming forms of the aggregation and of the segment view.
+
+Each micro-batch adds partial results under ``batch=<id>``; a repeated batch
+overwrites its own folder, so a restart after a failure counts nothing twice.
+Reading merges the partials, the same way partial aggregates merge in a shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadflow.functions.scalars import first_half, mps_to_kph
+from roadflow.operators.frames import FRAME_KEY, assign_frames
+from roadflow.operators.observations import evict, service_levels
+from roadflow.operators.ordering import with_neighbours
+
+SEGMENT = ["node_from", "node_to"]
+
+
+def run_available(stream: DataFrame, process, checkpoint: str) -> None:
+    """Drive ``process(batch, batch_id)`` over everything that is available now."""
+    query = (
+        stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+class _Partials:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def _read(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException:
+            return None
+
+
+class IncrementalFrames(_Partials):
+    """Frame rows and frame statistics over a record stream.
+
+    First sightings merge by the earliest ``(timestamp, seq)``, so late files
+    are right too.  Distances and times need each vehicle's records in order
+    across batches, as the simulation writes them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, interval_s: int):
+        super().__init__(spark, folder)
+        self.interval_s = interval_s
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        framed = assign_frames(batch, self.interval_s).withColumn(
+            "in_first", first_half(F.col("start_offset_m"), F.col("segment_length"))
+        ).persist()
+        first = F.col("in_first")
+        self._write(
+            framed.groupBy(*FRAME_KEY).agg(
+                F.sum(F.when(first, F.col("speed_mps"))).alias("s1"), F.sum(F.when(~first, F.col("speed_mps"))).alias("s2"),
+                F.count_if(first).alias("c1"), F.count_if(~first).alias("c2"), F.count_if(~F.col("active")).alias("f"),
+            ),
+            "speeds", batch_id,
+        )
+        self._write(
+            framed.groupBy("frame_id", "vehicle_id").agg(F.min(F.struct("timestamp", "seq", *SEGMENT, "in_first")).alias("s")),
+            "sightings", batch_id,
+        )
+        self._write_deltas(framed, batch_id)
+        framed.unpersist()
+
+    def _write_deltas(self, framed: DataFrame, batch_id: int) -> None:
+        columns = ["vehicle_id", "timestamp", "seq", *SEGMENT, "start_offset_m"]
+        rows = framed.select(*columns, "frame_id").withColumn("fresh", F.lit(True))
+        ends = self._read("ends")
+        if ends is not None:
+            before = ends.where(F.col("batch") < batch_id).groupBy("vehicle_id").agg(
+                F.max(F.struct("timestamp", "seq", *SEGMENT, "start_offset_m")).alias("e")
+            ).select("vehicle_id", "e.*")
+            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
+        paired = with_neighbours(
+            rows, ["vehicle_id"], ["timestamp", "seq"], F.floor(F.col("timestamp") / 3600), ["timestamp", *SEGMENT, "start_offset_m"]
+        ).where("fresh")
+        p = F.col("prev")
+        same = (F.col("node_from") == p["node_from"]) & (F.col("node_to") == p["node_to"])
+        moved = F.when(same, F.col("start_offset_m") - p["start_offset_m"]).otherwise(F.col("start_offset_m"))
+        self._write(
+            paired.groupBy("frame_id").agg(
+                F.sum(F.when(p.isNotNull(), F.col("timestamp") - p["timestamp"])).alias("between_s"),
+                F.sum(F.when(p.isNull(), F.col("timestamp"))).alias("opening_s"),
+                F.count_if(p.isNull()).alias("openings"),
+                F.sum(moved.cast("double")).alias("distance_m"), F.min("timestamp").alias("t0"),
+            ),
+            "deltas", batch_id,
+        )
+        self._write(
+            framed.groupBy("vehicle_id").agg(F.max(F.struct("timestamp", "seq", *SEGMENT, "start_offset_m")).alias("e")).select(
+                "vehicle_id", "e.*"
+            ),
+            "ends", batch_id,
+        )
+
+    def rows(self) -> DataFrame:
+        """Merged frame rows, in the form of the batch aggregation."""
+        first = F.col("in_first")
+        seen = self._read("sightings").groupBy("frame_id", "vehicle_id").agg(F.min("s").alias("s")).select("frame_id", "s.*").groupBy(
+            *FRAME_KEY
+        ).agg(F.count_if(first).alias("u1"), F.count_if(~first).alias("u2"))
+        sums = self._read("speeds").groupBy(*FRAME_KEY).agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "c1", "c2", "f")])
+        return sums.join(seen, FRAME_KEY, "left").select(
+            *FRAME_KEY,
+            F.coalesce("s1", F.lit(0.0)).alias("speed_sum_first"), F.col("c1").cast("int").alias("speed_count_first"),
+            F.coalesce("u1", F.lit(0)).cast("int").alias("count_unique_first"),
+            F.coalesce("s2", F.lit(0.0)).alias("speed_sum_second"), F.col("c2").cast("int").alias("speed_count_second"),
+            F.coalesce("u2", F.lit(0)).cast("int").alias("count_unique_second"), F.col("f").cast("int").alias("vehicles_finished"),
+        )
+
+    def stats(self) -> DataFrame:
+        """Merged time and distance per frame."""
+        deltas = self._read("deltas")
+        start = deltas.agg(F.min("t0").alias("t")).first()["t"]
+        return deltas.groupBy("frame_id").agg(
+            (F.coalesce(F.sum("between_s"), F.lit(0)) + F.coalesce(F.sum("opening_s"), F.lit(0)) - F.sum("openings") * start).alias("time_s"),
+            F.sum("distance_m").alias("distance_m"),
+        )
+
+
+class IncrementalView(_Partials):
+    """The segment view over a record stream: latest speeds and service levels of each batch."""
+
+    def __init__(self, spark: SparkSession, folder: str, segments: DataFrame | None = None, tolerance: int = 0, keep: int = 0):
+        super().__init__(spark, folder)
+        self.segments, self.tolerance, self.keep = segments, tolerance, keep
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        self._write(batch.groupBy(*SEGMENT, "vehicle_id").agg(
+            F.max(F.struct("timestamp", "seq", "speed_mps")).alias("last")
+        ), "latest", batch_id)
+        if self.segments is None:
+            return
+        newest = batch.agg(F.max("timestamp").alias("t")).first()["t"]
+        if newest is None:
+            return
+        columns = ["seq", "vehicle_id", *SEGMENT, "timestamp", F.col("start_offset_m").alias("offset_m")]
+        now = batch.select(*columns)
+        self._write(now, "view", batch_id)
+        view = evict(self._read("view").where(F.col("batch") <= batch_id), newest - self.keep)
+        self._write(service_levels(now.withColumnRenamed("seq", "probe_id"), view, self.segments, self.tolerance), "levels", batch_id)
+
+    def segment_speed(self) -> DataFrame:
+        latest = self._read("latest").groupBy(*SEGMENT, "vehicle_id").agg(F.max("last").alias("last"))
+        return latest.groupBy(*SEGMENT).agg(mps_to_kph(F.avg("last.speed_mps")).alias("speed_kph"))
+
+    def levels(self) -> DataFrame:
+        return self._read("levels").drop("batch")
+
+
+class IncrementalQueues(_Partials):
+    """Queues over a stream of ``(node_from, node_to, vehicle_id, seq, kind)`` with kind ``join`` or ``leave``.
+
+    A vehicle waits where it joined after it last left.
+    """
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        self._write(batch.groupBy(*SEGMENT, "vehicle_id").agg(
+            F.max(F.when(F.col("kind") == "join", F.col("seq"))).alias("joined"),
+            F.max(F.when(F.col("kind") == "leave", F.col("seq"))).alias("left"),
+        ), "moves", batch_id)
+
+    def waiting(self) -> DataFrame:
+        last = self._read("moves").groupBy(*SEGMENT, "vehicle_id").agg(F.max("joined").alias("joined"), F.max("left").alias("left"))
+        return last.where("joined IS NOT NULL AND (left IS NULL OR joined > left)").select(
+            *SEGMENT, "vehicle_id", F.col("joined").alias("pos")
+        )
+
+
+def windowed_frames(stream: DataFrame, interval_s: int, lateness: str = "0 seconds") -> DataFrame:
+    """Native watermarked form: speed sum and count per centred frame and segment.
+
+    ``stream`` carries ``event_time``; the state of a frame is dropped once the
+    watermark has passed it.
+    """
+    shifted = F.timestamp_seconds(F.unix_seconds("event_time") + interval_s // 2).alias("shifted")
+    return (
+        stream.withColumn("shifted", shifted).withWatermark("shifted", lateness)
+        .groupBy(F.window("shifted", f"{interval_s} seconds"), *SEGMENT)
+        .agg(F.sum("speed_mps").alias("speed_sum"), F.count("*").alias("speed_count"))
+        .select(F.floor(F.unix_seconds("window.start") / interval_s).alias("frame_id"), *SEGMENT, "speed_sum", "speed_count")
+    )
+
+
+__all__ = ["IncrementalFrames", "IncrementalView", "IncrementalQueues", "windowed_frames", "run_available"]
