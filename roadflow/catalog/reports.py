@@ -95,8 +95,8 @@ def behaviours(spark, folder):
     FROM inside JOIN total USING (k) JOIN modes USING (k)""",
 )
 def interval_log(spark, folder):
-    by_vehicle, by_segment = facts(spark, folder, ["vehicle_id"]), facts(spark, folder, reports.SEGMENT)
-    out = reports.interval_log(cut_lineage(by_vehicle), cut_lineage(by_segment), DAY, behaviours(spark, folder))
+    by_vehicle, by_segment = reports.both_facts(reports.interval_rows(log_input(spark, folder), DAY))
+    out = reports.interval_log(by_vehicle, by_segment, DAY, behaviours(spark, folder))
     return out.withColumns(
         {c: F.round(c, 6) for c in ("average_speed_kph", "average_speed_kph_since_start")}
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roadflow.functions.scalars import kph_to_mps
 from roadflow.operators.observations import service_levels
 from roadflow.operators.vehicles import at_segment_end, route_node, with_segments
+from roadflow.session import cut_lineage
 
 SEGMENT = ["node_from", "node_to"]
 # Fixed value: a vehicle this close to the segment end counts as arrived there.
@@ -175,7 +176,8 @@ def advance(
 ) -> DataFrame:
     """Judge and settle one step; one row per due vehicle."""
     ready = with_segments(due, segments, state)
-    judged = proposed_move(proposed_speed(ready, view, segments, tolerance_us, **resolution))
+    # The queue scan reads the judged moves twice; the table keeps the service levels from running twice.
+    judged = cut_lineage(proposed_move(proposed_speed(ready, view, segments, tolerance_us, **resolution)))
     return settle(queue_scan(judged, queue))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import SPEED_CLASSES_KPH, decimal_comma, percentage
 from roadflow.operators.ordering import dense_sequence, global_rank, running_total, with_neighbours
-from roadflow.session import cut_lineage
+from roadflow.session import cut_lineage, discard
 
 SEGMENT = ["node_from", "node_to"]
 ALTERNATIVES = ["default", "dijkstra_fastest", "dijkstra_shortest", "plateau_fastest"]
@@ -90,6 +90,14 @@ def interval_facts(rows: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def both_facts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts per vehicle and per segment; the interval rows are computed once and then removed."""
+    rows = cut_lineage(rows)
+    facts = cut_lineage(interval_facts(rows, ["vehicle_id"])), cut_lineage(interval_facts(rows, SEGMENT))
+    discard(rows)
+    return facts
+
+
 def _first_time(facts: DataFrame, key: list[str], flag: str, name: str) -> DataFrame:
     """Keys by the first interval with the flag; their running sum is a running distinct count."""
     return (
@@ -217,9 +225,7 @@ def comparison_header() -> list[str]:
 
 def comparison_table(prepared: DataFrame, width_s: int, vehicles: DataFrame) -> DataFrame:
     """The comparison file as one text column per header, one row per interval (plus ``interval``)."""
-    rows = interval_rows(prepared, width_s)
-    by_vehicle = cut_lineage(interval_facts(rows, ["vehicle_id"]))
-    by_segment = cut_lineage(interval_facts(rows, SEGMENT))
+    by_vehicle, by_segment = both_facts(interval_rows(prepared, width_s))
     table = interval_log(by_vehicle, by_segment, width_s, vehicles)
     for prefix, classes in (
         ("s_in_", interval_speed_classes(by_segment)),
