@@ -175,7 +175,7 @@ def advance(
     tolerance_us: int, **resolution: int,
 ) -> DataFrame:
     """Judge and settle one step; one row per due vehicle."""
-    ready = with_segments(due, segments, state)
+    ready = cut_lineage(with_segments(due, segments, state))
     # The queue scan reads the judged moves twice; the table keeps the service levels from running twice.
     judged = cut_lineage(proposed_move(proposed_speed(ready, view, segments, tolerance_us, **resolution)))
     return settle(queue_scan(judged, queue))

@@ -78,10 +78,10 @@ def vehicles_ahead(
        equality on ``(segment, time block, bit, prefix)``.
     3. Within such a group the answer is a running sum over time.
 
-    Time is cut into blocks a few tolerances wide and the events are summed per
-    time before the last shuffle, so group sizes depend on the tolerance and
-    not on how many vehicles crowd a segment.  Offsets compare at a resolution
-    of ``1 / offset_scale`` metres.
+    Time is cut into blocks a few tolerances wide, so a segment that is busy all
+    day spreads over many groups, and the bits spread each block further.
+    Records of one vehicle at one time are merged before the first shuffle.
+    Offsets compare at a resolution of ``1 / offset_scale`` metres.
     """
     width = 8 * tolerance + 16
     key = [*SEGMENT, "vehicle_id"]
@@ -122,43 +122,37 @@ def vehicles_ahead(
     # The value before a change; several turns may share one time and then cancel out.
     in_order = per_vehicle.orderBy("timestamp", "kind")
     turned = swept.withColumn("before", F.lag("peak").over(in_order))
-    changes = turned.where(
-        (F.col("kind") == 1) & ~F.col("peak").eqNullSafe(F.col("before"))
-    ).select(
-        *SEGMENT, "block", "timestamp",
-        F.explode(F.array(
-            F.struct(F.col("peak").alias("value"), F.lit(1).alias("delta")),
-            F.struct(F.col("before").alias("value"), F.lit(-1).alias("delta")),
-        )).alias("c"),
-    ).select(*SEGMENT, "block", "timestamp", "c.*").where("value IS NOT NULL")
-
-    positions = F.sequence(F.lit(0), F.lit(offset_bits - 1))
-    group = [*SEGMENT, "block", "bit", "prefix"]
-    events = (
-        changes.withColumn("bit", F.explode(positions))
-        .where("(shiftright(value, bit) & 1) = 1")
-        .withColumn("prefix", F.expr("shiftright(value, bit + 1)"))
-        .groupBy(*group, "timestamp")
-        .agg(F.sum("delta").alias("delta"))
-        .where("delta <> 0")
-        .withColumn("rank", F.lit(0))
+    # One pass over the swept rows emits everything the comparison needs: two signed events per
+    # change, one question per probe, and the probe's own vehicle as a group of its own (bit -1).
+    probe = F.col("kind") == 2
+    sides = F.when(probe, F.array(F.struct(F.col("x").alias("v"), F.lit(0).alias("delta")))).when(
+        ~F.col("peak").eqNullSafe(F.col("before")),
+        F.array(
+            F.struct(F.col("peak").alias("v"), F.lit(1).alias("delta")),
+            F.struct(F.col("before").alias("v"), F.lit(-1).alias("delta")),
+        ),
     )
-    asked = turned.where("kind = 2")
-    questions = (
-        asked.withColumn("bit", F.explode(positions))
-        .where("(shiftright(x, bit) & 1) = 0")
-        .select(*SEGMENT, "block", "bit", F.expr("shiftright(x, bit + 1)").alias("prefix"), "timestamp",
-                F.lit(0).cast("bigint").alias("delta"), F.lit(1).alias("rank"), "probe_id")
+    own = F.when(F.col("peak") > F.col("x"), -1).otherwise(0)
+    group = [*SEGMENT, "block", "bit", "prefix"]
+    bits = (
+        turned.select(*SEGMENT, "block", "timestamp", "probe_id", probe.cast("int").alias("rank"), own.alias("own"), F.inline(sides))
+        .where("v IS NOT NULL")
+        .withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(offset_bits - 1))))
+        .where("CASE WHEN bit < 0 THEN rank = 1 ELSE (shiftright(v, bit) & 1) = 1 - rank END")
+        .select(
+            *SEGMENT, "block", "bit", "timestamp", "rank", "probe_id",
+            F.expr("CASE WHEN bit < 0 THEN xxhash64(probe_id) ELSE shiftright(v, bit + 1) END").alias("prefix"),
+            F.expr("CASE WHEN bit < 0 THEN 0 ELSE delta END").alias("delta"),
+            F.expr("CASE WHEN bit < 0 THEN own ELSE 0 END").alias("own"),
+        )
     )
     upto = W.partitionBy(*group).orderBy("timestamp", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    answered = (
-        events.unionByName(questions, allowMissingColumns=True)
-        .withColumn("n", F.sum("delta").over(upto))
+    return (
+        bits.withColumn("n", F.sum("delta").over(upto) + F.col("own"))
         .where("rank = 1")
-        .select("probe_id", "n")
+        .groupBy("probe_id")
+        .agg(F.sum("n").alias("vehicles_ahead"))
     )
-    own = asked.select("probe_id", F.when(F.col("peak") > F.col("x"), -1).otherwise(0).cast("bigint").alias("n"))
-    return answered.unionByName(own).groupBy("probe_id").agg(F.sum("n").alias("vehicles_ahead"))
 
 
 def service_levels(
