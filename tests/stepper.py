@@ -1,0 +1,96 @@
+"""A small row-by-row model of one movement run, used only to check the set-based step."""
+
+
+def service(n, length, offset, lanes):
+    x = n * 1609.344 / (max(200.0, length - offset) * lanes)
+    for low, high, m in ((0, 12, 0.0), (12, 20, 0.2), (20, 30, 0.4), (30, 42, 0.6), (42, 67, 0.8)):
+        if x < high:
+            return 1.0 - (m + (x - low) * 0.2 / (high - low))
+    return None
+
+
+def half_even(a, b):
+    return round(a / b)
+
+
+def run(fleet, segments, tolerance, round_us, max_steps):
+    """fleet: dicts with id, t, freq, period, i, m, route, dest, active; returns records in append order."""
+    queues, view, history = {}, [], []
+    for step in range(max_steps):
+        clocks = [v["t"] for v in fleet if v["active"] and v["t"]]
+        if not clocks:
+            break
+        clock = min(clocks)
+        view = [r for r in view if r["t"] >= clock]
+        due = [v for v in fleet if v["active"] and half_even(v["t"], round_us) == half_even(clock, round_us)]
+        key = lambda v, k=0: (v["route"][v["i"] + k], v["route"][v["i"] + k + 1])
+        joins, leaves, fresh = [], [], []
+
+        def speed(v):
+            seg, x, entering = key(v), v["m"], False
+            if v["m"] == segments[seg]["length"]:
+                seg, x, entering = key(v, 1), 0.0, True
+            s = segments[seg]
+            ahead = {r["v"] for r in view if r["seg"] == seg and abs(r["t"] - v["t"]) <= tolerance and r["x"] > x and r["v"] != v["id"]}
+            level = service(len(ahead), s["length"], x, s["lanes"])
+            return (0.0, False) if level is None else (s["kph"] * level * (1000 / 3600), entering)
+
+        def emit(v, t0, t1, seg, s, x_end, u, active):
+            n, length = 1, segments[seg]["length"]
+            while t0 + n * v["period"] < t1 and s + n * u * v["period"] / 1e6 < length:
+                fresh.append({"t": t0 + n * v["period"], "v": v["id"], "seg": seg, "x": s + n * u * v["period"] / 1e6, "u": u, "active": True})
+                n += 1
+            fresh.append({"t": t1, "v": v["id"], "seg": seg, "x": x_end, "u": u, "active": active})
+
+        def move(v):
+            u, entering = speed(v)
+            old = (v["i"], v["m"])
+            seg, s = (key(v, 1), 0.0) if entering else (key(v), v["m"])
+            length, t1, pos = segments[seg]["length"], v["t"] + v["freq"], old
+            if u:
+                pos = (v["i"] + entering, s + v["freq"] / 1e6 * u)
+                if pos[1] >= length - 2:
+                    t1, pos = v["t"] + round((length - s) / u * 1e6), (pos[0], float(length))
+            if pos == (0, 0.0):
+                v["t"] += v["freq"]
+                return False
+            t0, was_end, old_key = v["t"], v["m"] == segments[key(v)]["length"], key(v)
+            v["t"], (v["i"], v["m"]) = t1, pos
+            if was_end and pos[0] != old[0]:
+                leaves.append((v["id"], old_key))
+            now = segments[key(v)]["length"]
+            if v["m"] == now:
+                if v["route"][v["i"] + 1] == v["dest"]:
+                    v["active"] = False
+                elif pos != old:
+                    joins.append((v["id"], key(v)))
+            emit(v, t0, t1, key(v) if was_end and pos[0] != old[0] else old_key, 0.0 if was_end and pos[0] != old[0] else old[1], v["m"], u, v["active"])
+            return pos != old
+
+        waiting = {}
+        for v in due:
+            if v["id"] in queues.setdefault(key(v), []):
+                waiting[v["id"]] = v
+        for v in due:
+            if v["id"] not in waiting:
+                move(v)
+        handled = set()
+        for q in list(queues.values()):
+            for vid in q:
+                if vid not in waiting:
+                    break
+                handled.add(vid)
+                if not move(waiting[vid]):
+                    break
+        for vid, v in waiting.items():
+            if vid not in handled:
+                t0 = v["t"]
+                v["t"] += v["freq"]
+                emit(v, t0, v["t"], key(v), v["m"], v["m"], 0.0, True)
+        for vid, k in leaves:
+            assert queues[k].pop(0) == vid
+        for vid, k in joins:
+            queues.setdefault(k, []).append(vid)
+        view += fresh
+        history += fresh
+    return history
