@@ -95,7 +95,9 @@ def load_records(spark: SparkSession, path: str, pattern: str = "*.parquet", per
 
 
 def with_datetime(records: DataFrame) -> DataFrame:
-    return records.withColumn("datetime", F.timestamp_seconds("timestamp").cast("timestamp_ntz"))
+    """Zone-less time of the whole seconds since 1970."""
+    zero = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return records.withColumn("datetime", F.timestamp_add("SECOND", F.col("timestamp"), zero))
 
 
 def merge_records(records: DataFrame) -> DataFrame:
