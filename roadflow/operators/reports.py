@@ -129,7 +129,8 @@ def interval_log(
         *[F.sum(c).alias(c) for c in _MEASURES[2:] + _COEFFICIENTS],
         *[c.alias(n) for n, c in counts.items()],
     )
-    log = _dense_intervals(by_vehicle)
+    # The parts meet in one aggregate over their union instead of a chain of joins.
+    stacked = _dense_intervals(by_vehicle)
     for part in (
         per_interval,
         by_segment.groupBy("interval").agg(F.count_if(here).alias("segments")),
@@ -137,7 +138,8 @@ def interval_log(
         _first_time(by_vehicle, ["vehicle_id"], "arrived", "new_finished"),
         _first_time(by_segment, SEGMENT, "present", "new_segments"),
     ):
-        log = log.join(part, "interval", "left")
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    log = stacked.groupBy("interval").agg(*[F.sum(c).alias(c) for c in stacked.columns if c != "interval"])
     log = running_total(
         log.fillna(0), [], ["interval"], F.floor(F.col("interval") / 4096),
         {
