@@ -1,0 +1,39 @@
+"""The step loop with rerouting, restrictions, hooks and saved state."""
+
+from roadflow.plans import simulate
+from roadflow.sources import tables
+
+FLEET = (
+    "id long, time_offset_us long, frequency_us long, start_index int, start_distance_offset double, origin_node long, "
+    "dest_node long, osm_route array<long>, active boolean, fcd_sampling_period_us long, status string, "
+    "alternatives string, route_selection string"
+)
+
+
+def test_rerouting_around_a_restriction(spark, tmp_path):
+    # 0 -> 1, then the planned way 1 -> 2 -> 3 slows down and 1 -> 4 -> 3 becomes faster.
+    segments = spark.createDataFrame(
+        [(0, 1, 60, 50, 1), (1, 2, 100, 50, 1), (2, 3, 100, 50, 1), (1, 4, 120, 50, 1), (4, 3, 120, 50, 1)],
+        "node_from long, node_to long, length_m int, max_speed_kph int, lanes int",
+    )
+    fleet = spark.createDataFrame(
+        [(1, 5_000_000, 5_000_000, 0, 0.0, 0, 3, [0, 1, 2, 3], True, 5_000_000, "", "dijkstra_fastest", "first")], FLEET
+    )
+    rules = spark.sql(
+        "SELECT 2L AS node_from, 3L AS node_to, 5D AS speed, TIMESTAMP_NTZ'2021-01-01 00:00:00' AS timestamp_from, "
+        "TIMESTAMP_NTZ'2021-01-01 01:00:00' AS timestamp_to"
+    )
+    seen = []
+
+    def hook(state):
+        seen.append(state.step)
+        if state.step == 1:
+            tables.save_state(state, str(tmp_path / "saved"))
+
+    state, history = simulate.run(
+        simulate.start(spark, fleet, segments), simulate.Settings(max_steps=2), rules, str(tmp_path / "raw"), [hook]
+    )
+    assert seen == [1, 2] and state.vehicles.first().osm_route == [0, 1, 4, 3]
+    assert history.count() >= 2 and state.steps[1]["need_new_route"] == 1
+    again = tables.load_state(spark, str(tmp_path / "saved"), 1)
+    assert again.step == 1 and again.vehicles.first().start_distance_offset == 60.0
