@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate
+from roadflow.llm import decontaminate, mixing, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,5 +47,58 @@ def op8_decontamination(spark, folder):
         (F.size("hits.spans") > 0).alias("contaminated"),
     )
 
+SHARD_LIMIT = 32 << 20
+
+SHARDING_SQL = f"""
+WITH d AS (
+    SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS row_bytes,
+           ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 2) << 30)
+           + (('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT >> 2) AS h
+    FROM documents),
+b AS (
+    SELECT h, depth, h >> (60 - depth) AS prefix,
+           sum(row_bytes) OVER w AS shard_bytes, min(h) OVER w AS low, max(h) OVER w AS high
+    FROM d, (SELECT unnest(generate_series(0, 60)) AS depth)
+    WINDOW w AS (PARTITION BY depth, h >> (60 - depth))),
+leaf AS (
+    SELECT h, min(depth) AS depth, arg_min(shard_bytes, depth) AS shard_bytes
+    FROM b WHERE shard_bytes <= {SHARD_LIMIT} OR low = high GROUP BY h)
+SELECT doc_id, row_bytes, depth::INTEGER AS shard_depth, shard_bytes::BIGINT AS shard_bytes,
+       CASE WHEN depth > 0 THEN lpad(bin(h >> (60 - depth)), depth::INTEGER, '0') ELSE '' END AS shard
+FROM d JOIN leaf USING (h)
+"""
+
+
+@query("op1_sharding", SHARDING_SQL)
+def op1_sharding(spark, folder):
+    return sharding.shard(table(spark, folder, "documents"), SHARD_LIMIT).select(
+        "doc_id", "shard", "shard_depth", "shard_bytes", "row_bytes")
+
+
+MIXING_SQL = """
+WITH RECURSIVE s AS (
+    SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
+r AS (SELECT source, w * (SELECT sum(n) FROM s) / ((SELECT sum(w) FROM s) * n) AS rate FROM s),
+c AS (
+    SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS total FROM r
+    UNION ALL
+    SELECT source, rate, k + 1, log_p + ln(rate / (k + 1)), total + exp(log_p + ln(rate / (k + 1)))
+    FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+d AS (
+    SELECT *, ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u,
+           row_number() OVER () AS r
+    FROM documents),
+n AS (
+    SELECT d.r, count(*) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND c.total <= d.u GROUP BY d.r)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
+       ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+FROM (SELECT d.*, unnest(generate_series(1, copies)) AS copy FROM d JOIN n ON d.r = n.r)
+"""
+
+
+@query("op9_mixing", MIXING_SQL)
+def op9_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
 
 __all__ = ["QUERIES", "SQL"]
