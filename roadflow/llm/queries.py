@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, mixing, sharding
+from roadflow.llm import decontaminate, language, mixing, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,5 +100,12 @@ FROM (SELECT d.*, unnest(generate_series(1, copies)) AS copy FROM d JOIN n ON d.
 def op9_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
+@query("op2_language")
+def op2_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language.learn(docs)
+    held = docs.select("doc_id", language.held_out("doc_id").alias("held_out"), "text")
+    return language.predict(held, model, keep_columns=["doc_id", "held_out"])
+
 
 __all__ = ["QUERIES", "SQL"]
