@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, language, mixing, sharding
+from roadflow.llm import decontaminate, jaccard, language, mixing, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,4 +108,9 @@ def op2_language(spark, folder):
     return language.predict(held, model, keep_columns=["doc_id", "held_out"])
 
 
+@query("op3_jaccard")
+def op3_jaccard(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
