@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, jaccard, language, mixing, sharding
+from roadflow.llm import decontaminate, jaccard, language, mixing, pieces, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,4 +113,9 @@ def op3_jaccard(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op4_token_counts")
+def op4_token_counts(spark, folder):
+    return pieces.count_tokens(table(spark, folder, "documents"), keep_columns=["doc_id"])
+
+
 __all__ = ["QUERIES", "SQL"]
