@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, jaccard, language, mixing, pieces, sharding
+from roadflow.llm import decontaminate, jaccard, language, mixing, neighbours, pieces, preferences, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,4 +118,47 @@ def op4_token_counts(spark, folder):
     return pieces.count_tokens(table(spark, folder, "documents"), keep_columns=["doc_id"])
 
 
+@query("op7_neighbours")
+def op7_neighbours(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+PREFERENCES_SQL = """
+WITH t AS (
+    SELECT conv_id AS conv, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, 'unknown'), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+    SELECT min(conv) AS c, max(conv) AS r FROM (SELECT DISTINCT conv FROM t)
+    GROUP BY floor(conv / 2) HAVING min(conv) <> max(conv)),
+w AS (
+    SELECT c, r, 'chosen' AS part, place, role, text FROM p JOIN t ON t.conv = c
+    UNION ALL
+    SELECT c, r, 'rejected', place, role, text FROM p JOIN t ON t.conv = r),
+x AS (
+    SELECT c, r, coalesce(min(CASE WHEN n < 2 OR k > 1 THEN place END) - 1, max(place)) AS n_prompt
+    FROM (SELECT c, r, place, count(*) AS n, count(DISTINCT (role, text)) AS k FROM w GROUP BY c, r, place) GROUP BY c, r),
+o AS (
+    SELECT c, r, n_prompt, CASE WHEN place <= n_prompt THEN 'prompt' ELSE part END AS part, place, (place - 1) // 256 AS chunk,
+           '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS out,
+           CASE WHEN place > n_prompt AND role = 'assistant' THEN length(text) + 10 ELSE 0 END AS loss
+    FROM w JOIN x USING (c, r) WHERE part = 'chosen' OR place > n_prompt),
+e AS (
+    SELECT *, sum(length(out)) OVER (PARTITION BY c, r, part, chunk ORDER BY place) - 1 AS till FROM o)
+SELECT c AS chosen_id, r AS rejected_id, part, chunk::BIGINT AS chunk, any_value(n_prompt)::BIGINT AS n_prompt, count(*)::BIGINT AS n_turns,
+       string_agg(out, '' ORDER BY place) AS text,
+       coalesce(string_agg(CASE WHEN loss > 0 THEN (till - loss)::BIGINT || '-' || till::BIGINT END, ',' ORDER BY place), '') AS loss_spans
+FROM e GROUP BY c, r, part, chunk
+"""
+
+
+@query("op10_preferences", PREFERENCES_SQL)
+def op10_preferences(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    rows = preferences.preference_examples(
+        preferences.numbered_turns(conversations), preferences.consecutive_pairs(conversations))
+    return rows.withColumn("loss_spans", F.array_join(
+        F.transform("loss_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
+
+
 __all__ = ["QUERIES", "SQL"]
