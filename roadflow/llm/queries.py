@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, sharding
+from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -167,4 +167,11 @@ def op6_line_dedup(spark, folder):
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op5_scoring")
+def op5_scoring(spark, folder):
+    docs = table(spark, folder, "documents")
+    words = scoring.vocabulary(docs)
+    return scoring.score(docs, words, scoring.train(docs, words), keep_columns=["doc_id"])
+
+
 __all__ = ["QUERIES", "SQL"]
