@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadflow.llm.cells import deal_cells
 from roadflow.llm.components import connected_components
 from roadflow.llm.overlap import Groups, OccurrenceIndex
 from roadflow.session import cut_lineage
@@ -296,23 +297,7 @@ def search_bins(sets: DataFrame, cells: DataFrame, numerator: int, denominator:
     """Links ``(a, b)`` that span every group of matching documents."""
     rows = sets.where("shared IS NOT NULL").select("doc_id", "n_shingles", "n_shared", "shared")
     placed = cut_lineage(rows.join(cells.withColumnRenamed("node", "doc_id"), "doc_id"))
-    loads = placed.groupBy("component").agg(F.sum("n_shared").alias("load"))
-    bins = F.greatest(F.lit(1), F.ceil(loads.select(F.sum("load")).scalar() / bin_shingles))
-    loads = loads.select(
-        "component", F.ceil(F.col("load") / bin_shingles).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("component"), bins).alias("bin"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    # A large cell has blocks; each pair of them, and each with itself, is a bin of its own.
-    dealt = (
-        placed.join(loads, "component")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "doc_id", "n_shingles", "shared", "block", "component",
-            F.when(F.col("blocks") == 1, F.col("bin")).otherwise(F.col("component")).alias("place"),
-            F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("block", "other")).alias("i"),
-            F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("j"))
-    )
+    dealt = deal_cells(placed, "doc_id", "n_shared", bin_shingles, ["doc_id", "n_shingles", "shared"])
 
     def search(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("doc_id").to_pylist(), np.int64)
