@@ -33,7 +33,7 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
     open_ = np.ones(n, bool)
     for ahead in range(compared):
         symbol = np.zeros(n, np.uint64)
-        symbol[: n - ahead] = codes[ahead:]
+        symbol[: max(0, n - ahead)] = codes[ahead:]
         open_ &= symbol > 0
         key = (key << np.uint64(bits)) | np.where(open_, symbol, np.uint64(0))
     key = np.sort((key << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64))
