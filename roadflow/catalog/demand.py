@@ -26,7 +26,6 @@ FLOW_COLUMNS = f"""
 
 
 def flows(spark, folder):
-    i.table(spark, folder, "supplier")
     return i.table(spark, folder, "supplier").selectExpr(
         *[c for c in _split_columns(FLOW_COLUMNS.format(text="string"))]
     ).withColumn("count_devices", F.col("count_devices").cast("bigint"))
@@ -47,13 +46,13 @@ def _split_columns(text):
 
 
 def _draw(n, low, high):
-    return f"({low}) + (({high}) - ({low})) * (((key + {n}) * 2654435761 % 4294967296) / 4294967296.0::DOUBLE)"
+    chance = f"('0x' || substr(md5('0:{n}:' || id_flow || ':' || device), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+    return f"({low}) + (({high}) - ({low})) * ({chance})"
 
 
 FLOWS_SQL = f"""
 devices AS (
   SELECT CAST(s_suppkey AS BIGINT) AS id_flow, d AS device, s_suppkey AS k, s_nationkey AS c,
-         (CAST(s_suppkey AS BIGINT) * 1009 + d) % 2000000000 AS key,
          epoch(TIMESTAMP '2021-06-15 22:00:00') + (s_suppkey % 24) * 3600 AS t0
   FROM supplier, LATERAL (SELECT unnest(range(0, CAST(s_suppkey % 7 AS BIGINT))) AS d)),
 drawn AS (
@@ -159,22 +158,35 @@ def vehicle_status(spark, folder):
 
 
 def map_nodes(spark, folder):
+    """Nodes from part, and a twin a billionth of a degree beside each."""
     p = F.col("p_partkey")
-    return i.table(spark, folder, "part").select(
+    nodes = i.table(spark, folder, "part").select(
         p.cast("bigint").alias("node_id"), (F.lit(14.0) + (p * 617 % 1009) / 8192).alias("lon"), (F.lit(50.0) + (p * 433 % 997) / 8192).alias("lat")
     )
+    return nodes.union(nodes.select(F.col("node_id") + 10**9, F.col("lon") + 1e-9, F.col("lat") - 1e-9))
+
+
+NODES_SQL = """
+part_nodes AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, 14.0::DOUBLE + (p_partkey * 617 % 1009) / 8192.0::DOUBLE AS lon,
+                      50.0::DOUBLE + (p_partkey * 433 % 997) / 8192.0::DOUBLE AS lat FROM part),
+nodes AS (SELECT * FROM part_nodes UNION ALL SELECT node_id + 1000000000, lon + 1e-9::DOUBLE, lat - 1e-9::DOUBLE FROM part_nodes)
+"""
 
 
 @query(
     "nearest_nodes_j12",
-    i.sql_with(MATRICES_SQL)
+    i.sql_with(MATRICES_SQL, NODES_SQL)
     + """
-    , nodes AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, 14.0::DOUBLE + (p_partkey * 617 % 1009) / 8192.0::DOUBLE AS lon,
-                       50.0::DOUBLE + (p_partkey * 433 % 997) / 8192.0::DOUBLE AS lat FROM part)
-    SELECT row AS point_id, arg_min(node_id, (sin(radians(lat - lat_from) / 2) ** 2
-             + cos(radians(lat_from)) * cos(radians(lat)) * sin(radians(lon - lon_from) / 2) ** 2, node_id)) AS node_id
-    FROM matrices, nodes GROUP BY row""",
+    , ends AS (SELECT row * 2 AS point_id, lon_from AS x, lat_from AS y FROM matrices
+               UNION ALL SELECT row * 2 + 1, lon_to, lat_to FROM matrices)
+    SELECT point_id, arg_min(node_id, (sin(radians(lat - y) / 2) ** 2
+             + cos(radians(y)) * cos(radians(lat)) * sin(radians(lon - x) / 2) ** 2, node_id)) AS node_id
+    FROM ends, nodes GROUP BY point_id""",
 )
 def nearest(spark, folder):
-    points = matrices(spark, folder).select(F.col("row").alias("point_id"), F.col("lon_from").alias("lon"), F.col("lat_from").alias("lat"))
+    row = F.col("row")
+    points = matrices(spark, folder).select(F.explode(F.array(
+        F.struct((row * 2).alias("point_id"), F.col("lon_from").alias("lon"), F.col("lat_from").alias("lat")),
+        F.struct((row * 2 + 1).alias("point_id"), F.col("lon_to").alias("lon"), F.col("lat_to").alias("lat")),
+    )).alias("p")).select("p.*")
     return positions.nearest_nodes(points, map_nodes(spark, folder))

@@ -35,7 +35,7 @@ def settled(spark, folder):
     fleet, streets = i.vehicles(spark, folder), i.streets(spark, folder)
     return movement.advance(
         vehicles.due(fleet, CLOCK_US, ROUND_US), snapshot_queue(fleet, streets), snapshot_view(fleet), streets,
-        street_closures(spark, folder), TOLERANCE_US, offset_scale=1, offset_bits=11,
+        street_closures(spark, folder), TOLERANCE_US,
     )
 
 

@@ -72,7 +72,7 @@ def _rank_case(rank, bounds, names):
 
 BEHAVIOUR_SQL = """
 n AS (SELECT count(*) AS n FROM vehicles),
-r AS (SELECT v.*, n, row_number() OVER (ORDER BY (id + 42) * 2654435761 % 4294967296, id) AS rk FROM vehicles v, n),
+r AS (SELECT v.*, n, row_number() OVER (ORDER BY ('0x' || substr(md5('42:0:' || id), 1, 12))::BIGINT, id) AS rk FROM vehicles v, n),
 q AS (SELECT n, n - CAST(floor(0.3::DOUBLE * n) AS BIGINT) - 2 * CAST(floor(0.2::DOUBLE * n) AS BIGINT) AS q0,
              CAST(floor(0.3::DOUBLE * n) AS BIGINT) AS q1, CAST(floor(0.2::DOUBLE * n) AS BIGINT) AS q2,
              CAST(floor(0.5::DOUBLE * n) AS BIGINT) AS s1, CAST(floor(0.2::DOUBLE * n) AS BIGINT) AS s2 FROM n),
@@ -81,7 +81,7 @@ a AS (SELECT r.*, q0, s1, s2, CASE WHEN rk <= q0 THEN 'default' WHEN rk <= q0 +
 behaved AS (
   SELECT *, CASE WHEN alternatives = 'default' THEN 'no_alternative'
          WHEN rk2 <= s1 THEN 'first' WHEN rk2 <= s1 + s2 THEN 'random' ELSE 'no_alternative' END AS route_selection
-  FROM (SELECT *, row_number() OVER (PARTITION BY alternatives = 'default' ORDER BY (id + 43) * 2654435761 % 4294967296, id) AS rk2 FROM a))
+  FROM (SELECT *, row_number() OVER (PARTITION BY alternatives = 'default' ORDER BY ('0x' || substr(md5('42:1:' || id), 1, 12))::BIGINT, id) AS rk2 FROM a))
 """
 
 
@@ -96,7 +96,8 @@ def assigned_behaviour(spark, folder):
 @query(
     "chosen_routes_v19",
     """SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_orderkey % 2 = 1
-         THEN (o_orderkey + 49) * 2654435761 % 4294967296 % (o_custkey % 4) ELSE 0 END AS choice FROM orders""",
+         THEN CAST(floor(('0x' || substr(md5('42:7:' || o_orderkey), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * (o_custkey % 4)) AS BIGINT)
+         ELSE 0 END AS choice FROM orders""",
 )
 def chosen_routes(spark, folder):
     n = (F.col("o_custkey") % 4).cast("int")

@@ -52,18 +52,13 @@ def take_segment_speeds(view: DataFrame, since_seq: int, threshold: int | None =
     return touched_segments(view, since_seq, threshold).join(segment_speed(kept), SEGMENT, "left")
 
 
-def vehicles_ahead(
-    probes: DataFrame,
-    view: DataFrame,
-    tolerance: int,
-    offset_scale: int = 65536,
-    offset_bits: int = 34,
-) -> DataFrame:
+def vehicles_ahead(probes: DataFrame, view: DataFrame, tolerance: int) -> DataFrame:
     """Distinct other vehicles ahead of each probe within a closed time tolerance.
 
     ``probes(probe_id, vehicle_id, node_from, node_to, timestamp, offset_m)`` and
     ``view(vehicle_id, node_from, node_to, timestamp, offset_m)``; times are
-    integers in one unit.  Returns ``probe_id, vehicles_ahead``.
+    integers in one unit.  Returns ``probe_id, vehicles_ahead``.  Offsets compare
+    exactly, whatever their size.
 
     No pair of a probe and a record is ever formed, so a crowded segment costs
     n log n and not n squared:
@@ -72,25 +67,24 @@ def vehicles_ahead(
        a step function of time.  Its steps become signed events ``(time,
        offset, +1/-1)``; a vehicle counts for a probe when its step value lies
        above the probe's offset.
-    2. ``value > offset`` holds for exactly one bit position where both agree
-       above and the value has 1 where the probe has 0.  Exploding the set bits
-       of events and the clear bits of probes turns the comparison into
-       equality on ``(segment, time block, bit, prefix)``.
-    3. Within such a group the answer is a running sum over time.
+    2. Within a segment and time block the offsets that occur are numbered in
+       their order.  ``value > offset`` then holds for exactly one hexadecimal
+       place of the two numbers, where all higher digits agree and the value's
+       digit is larger.  One row per place, as many places as the block's
+       offsets need, turns the comparison into equality on ``(segment, time
+       block, place, higher digits)``.
+    3. Within such a group the answer is a running sum over time, kept for each
+       digit.
 
     Time is cut into blocks a few tolerances wide, so a segment that is busy all
-    day spreads over many groups, and the bits spread each block further.
-    Records of one vehicle at one time are merged before the first shuffle.
-    Offsets compare at a resolution of ``1 / offset_scale`` metres.
+    day spreads over many groups.  Records of one vehicle at one time are merged
+    before the first shuffle.
     """
     width = 8 * tolerance + 16
     key = [*SEGMENT, "vehicle_id"]
-
-    def units(c):
-        return F.floor(F.col(c) * offset_scale).cast("bigint")
-
+    offset = F.col("offset_m").cast("double")
     records = (
-        view.select(*key, "timestamp", units("offset_m").alias("value"))
+        view.select(*key, "timestamp", offset.alias("value"))
         .groupBy(*key, "timestamp")
         .agg(F.max("value").alias("value"))
     )
@@ -104,16 +98,16 @@ def vehicles_ahead(
     )
     record_rows = spread.select(*key, "block", "timestamp", "value", F.lit(0).alias("kind"))
     turn_rows = spread.select(*key, "block", F.explode(turns).alias("timestamp")).select(
-        *key, "block", "timestamp", F.lit(None).cast("bigint").alias("value"), F.lit(1).alias("kind")
+        *key, "block", "timestamp", F.lit(None).cast("double").alias("value"), F.lit(1).alias("kind")
     )
     probe_rows = probes.select(
         *key,
         F.floor(t / width).alias("block"),
         "timestamp",
-        F.lit(None).cast("bigint").alias("value"),
+        F.lit(None).cast("double").alias("value"),
         F.lit(2).alias("kind"),
         "probe_id",
-        units("offset_m").alias("x"),
+        offset.alias("x"),
     )
     union = record_rows.unionByName(turn_rows).unionByName(probe_rows, allowMissingColumns=True)
     per_vehicle = W.partitionBy(*SEGMENT, "block", "vehicle_id")
@@ -122,8 +116,7 @@ def vehicles_ahead(
     # The value before a change; several turns may share one time and then cancel out.
     in_order = per_vehicle.orderBy("timestamp", "kind")
     turned = swept.withColumn("before", F.lag("peak").over(in_order))
-    # One pass over the swept rows emits everything the comparison needs: two signed events per
-    # change, one question per probe, and the probe's own vehicle as a group of its own (bit -1).
+    # Two signed events per change and one question per probe; its own vehicle is taken off at the end.
     probe = F.col("kind") == 2
     sides = F.when(probe, F.array(F.struct(F.col("x").alias("v"), F.lit(0).alias("delta")))).when(
         ~F.col("peak").eqNullSafe(F.col("before")),
@@ -132,34 +125,35 @@ def vehicles_ahead(
             F.struct(F.col("before").alias("v"), F.lit(-1).alias("delta")),
         ),
     )
-    own = F.when(F.col("peak") > F.col("x"), -1).otherwise(0)
-    group = [*SEGMENT, "block", "bit", "prefix"]
-    bits = (
+    own = F.when(F.col("peak") > F.col("x"), 1).otherwise(0)
+    here = W.partitionBy(*SEGMENT, "block")
+    places = F.floor((F.length(F.bin(F.col("upto"))) + 3) / 4).cast("int")
+    digits = (
         turned.select(*SEGMENT, "block", "timestamp", "probe_id", probe.cast("int").alias("rank"), own.alias("own"), F.inline(sides))
         .where("v IS NOT NULL")
-        .withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(offset_bits - 1))))
-        .where("CASE WHEN bit < 0 THEN rank = 1 ELSE (shiftright(v, bit) & 1) = 1 - rank END")
-        .select(
-            *SEGMENT, "block", "bit", "timestamp", "rank", "probe_id",
-            F.expr("CASE WHEN bit < 0 THEN xxhash64(probe_id) ELSE shiftright(v, bit + 1) END").alias("prefix"),
-            F.expr("CASE WHEN bit < 0 THEN 0 ELSE delta END").alias("delta"),
-            F.expr("CASE WHEN bit < 0 THEN own ELSE 0 END").alias("own"),
-        )
+        .withColumn("code", F.dense_rank().over(here.orderBy("v")) - 1)
+        .withColumn("upto", F.col("code") + F.dense_rank().over(here.orderBy(F.desc("v"))) - 1)
+        .withColumn("place", F.explode(F.sequence(F.lit(0), places - 1)))
+        .withColumn("higher", F.expr("shiftright(code, 4 * place + 4)"))
+        .withColumn("digit", F.expr("shiftright(code, 4 * place) & 15"))
+        .where("rank = 1 OR digit > 0")
+    )
+    upto = (
+        W.partitionBy(*SEGMENT, "block", "place", "higher").orderBy("timestamp", "rank")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    upto = W.partitionBy(*group).orderBy("timestamp", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    above = F.array(*[F.sum(F.when(F.col("digit") >= d, F.col("delta")).otherwise(0)).over(upto) for d in range(1, 16)], F.lit(0).cast("bigint"))
     return (
-        bits.withColumn("n", F.sum("delta").over(upto) + F.col("own"))
+        digits.withColumn("n", F.get(above, F.col("digit")))
         .where("rank = 1")
         .groupBy("probe_id")
-        .agg(F.sum("n").alias("vehicles_ahead"))
+        .agg((F.sum("n") - F.max("own")).alias("vehicles_ahead"))
     )
 
 
-def service_levels(
-    probes: DataFrame, view: DataFrame, segments: DataFrame, tolerance: int, **resolution: int
-) -> DataFrame:
+def service_levels(probes: DataFrame, view: DataFrame, segments: DataFrame, tolerance: int) -> DataFrame:
     """Vehicles ahead and level of service per probe; an unlisted segment gives nulls."""
-    ahead = vehicles_ahead(probes, view, tolerance, **resolution)
+    ahead = vehicles_ahead(probes, view, tolerance)
     return (
         probes.join(ahead, "probe_id")
         .join(segments.select(*SEGMENT, "length_m", "lanes"), SEGMENT, "left")

@@ -43,6 +43,14 @@ def test_vehicles_ahead_matches_brute_force(spark, seed, tolerance, segments):
         assert got[n] == len({r[1] for r in rows if r[2] == s and abs(r[4] - t) <= tolerance and r[5] > x and r[1] != v})
 
 
+@pytest.mark.parametrize("unit", [1e-9, 1.0, 300_000.0])
+def test_offsets_compare_exactly(spark, unit):
+    rows = [(n, n, 1, 2, 0, x * unit) for n, x in enumerate((1.007, 15.005, 1.002, 10.0, 1.0070000001))]
+    probes = spark.createDataFrame(rows, "probe_id long, vehicle_id long, node_from long, node_to long, timestamp long, offset_m double")
+    got = {r.probe_id: r.vehicles_ahead for r in obs.vehicles_ahead(probes, probes.drop("probe_id"), 5).collect()}
+    assert got == {0: 3, 1: 0, 2: 4, 3: 1, 4: 2}
+
+
 def test_service_level_ladder(spark):
     def want(x):
         for (low, high), m in zip(((0, 12), (12, 20), (20, 30), (30, 42), (42, 67)), (0.0, 0.2, 0.4, 0.6, 0.8)):
