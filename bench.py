@@ -30,8 +30,6 @@ HEADLINE = [
     "segment_state_g11_j10_t10",
     "route_times_a24_g6_p5",
     "assigned_behaviour_v18",
-    "step_outcome_v2_v3_v4_v5_v7",
-    "step_records_v6",
     "stream_frame_rows_a8_v13",
 ]
 

@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from roadflow.plans import config, jobs
+from roadflow.plans import jobs
 from roadflow.session import build_session
 from roadflow.sources import tables
 
@@ -23,10 +23,13 @@ def parser() -> argparse.ArgumentParser:
     text, whole, real = {"required": True}, {"type": int}, {"type": float}
     job("odmatrix", ("--flows", text), ("--out", text), ("--frequency-s", {**whole, "default": 20}), ("--sampling-s", {**whole, "default": 5}), ("--seed", {**whole, "default": 0}))
     job("combine", ("--rules", text), ("--out", text), ("--separator", {"default": ";"}))
-    job("vehicles", ("--od", text), ("--map", text), ("--out", text), ("--no-routing", {"action": "store_true"}))
+    job("vehicles", ("--od", text), ("--map", text), ("--out", text), ("--no-routing", {"action": "store_true"}),
+        ("--frequency-s", {**whole, "default": 20}), ("--sampling-s", {**whole, "default": 5}), ("--download-date", {}),
+        ("--grow-lat", {**real, "default": 0.0}), ("--grow-lon", {**real, "default": 0.0}),
+        ("--south", real), ("--north", real), ("--west", real), ("--east", real))
     job("map", ("--graphml", text), ("--out", text))
-    job("simulate", ("--config", text), ("--map", text), ("--workdir", {}))
-    job("aggregate", ("--records", text), ("--out", text), ("--frames", whole), ("--round-freq-s", {**whole, "default": 5}), ("--interval-s", whole))
+    job("aggregate", ("--records", text), ("--out", text), ("--frames", whole), ("--round-freq-s", {**whole, "default": 5}), ("--interval-s", whole), ("--run", {}))
+    job("merge", ("--runs", {"required": True, "nargs": "+"}), ("--out", text))
     job("info", ("--records", text), ("--minute", whole), ("--completion", real))
     job("comparison", ("--records", text), ("--vehicles", text), ("--minutes", {**whole, "default": 5}), ("--out", text))
     job("enrich", ("--frames", text), ("--map", text), ("--out", text), ("--offset-s", {**whole, "default": 0}))
@@ -46,13 +49,19 @@ def main(argv: list[str] | None = None) -> None:
     elif a.job == "combine":
         jobs.combine_od(spark, a.rules, a.out, a.separator)
     elif a.job == "vehicles":
-        tables.save_table(jobs.od_to_vehicles(spark, tables.read_od(spark, a.od), part("nodes"), part("segments"), no_routing=a.no_routing), a.out)
+        made = jobs.od_to_vehicles(
+            spark, tables.read_od(spark, a.od), part("nodes"), part("segments"), a.frequency_s, a.sampling_s, a.no_routing,
+            a.download_date, a.grow_lat, a.grow_lon, south=a.south, north=a.north, west=a.west, east=a.east)
+        tables.save_table(made, a.out)
     elif a.job == "map":
         jobs.build_map(spark, a.graphml, a.out)
-    elif a.job == "simulate":
-        jobs.run_simulation(spark, config.load_config(a.config, a.workdir), part("segments"))
     elif a.job == "aggregate":
-        jobs.aggregate(spark, tables.load_records(spark, a.records), a.out, a.frames, a.round_freq_s, a.interval_s)
+        records, source = tables.load_records(spark, a.records), None
+        if a.run:
+            source = tables.RecordStore(spark, a.run, resume=True).attributes()
+        jobs.aggregate(spark, records, a.out, a.frames, a.round_freq_s, a.interval_s, source)
+    elif a.job == "merge":
+        tables.merge_records(spark, a.runs, a.out)
     elif a.job == "info":
         for table in jobs.info(tables.load_records(spark, a.records), a.minute, a.completion):
             table.show(truncate=False, vertical=True)

@@ -1,4 +1,4 @@
-"""Queries of one movement step over all vehicles."""
+"""Queries of the rules that carry a fleet from one snapshot to the next."""
 
 from __future__ import annotations
 
@@ -146,14 +146,3 @@ def step_records(spark, folder):
         "vehicle_id", "sample", "timestamp", "node_from", "node_to", "segment_length",
         F.round("offset_m", 6).alias("offset_m"), F.round("speed_mps", 6).alias("speed_mps"), "active",
     )
-
-
-@query("simulation_steps_v1_v9")
-def simulation_steps(spark, folder):
-    """Two steps of the whole fleet from the snapshot; the records in append order."""
-    from roadflow.plans import simulate
-
-    state = simulate.start(spark, i.vehicles(spark, folder), i.streets(spark, folder))
-    state.queue = snapshot_queue(i.vehicles(spark, folder), i.streets(spark, folder))
-    _, history = simulate.run(state, simulate.Settings(max_steps=2))
-    return simulate.stored_form(history)

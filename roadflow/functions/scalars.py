@@ -272,6 +272,47 @@ def interpolate_array(values: Column, points: Column) -> Column:
     return F.when((points > 0) & (n > 0), F.transform(F.sequence(F.lit(0), points - 1), at))
 
 
+def drawn_parts(densities: Column, speeds: Column, points: Column, delete_unseen: Column) -> Column:
+    """Values along a drawn segment: array of ``(point, density, speed)``.
+
+    Parts without a speed (-1) are either left out before resampling, so their
+    neighbours spread over the segment, or resampled as they are, and points
+    that come out below zero deleted.  Null where no part has a speed and none
+    is to be deleted.
+    """
+    seen = F.when(delete_unseen, speeds).otherwise(F.filter(speeds, lambda v: v != -1))
+    density, speed = interpolate_array(densities, points), interpolate_array(seen, points)
+    rows = F.zip_with(F.zip_with(F.sequence(F.lit(0), points - 1), density, lambda i, d: F.struct(i.alias("i"), d.alias("d"))), speed,
+                      lambda a, v: F.struct(a["i"].alias("point"), a["d"].alias("density"), v.alias("speed")))
+    return F.when(speed.isNotNull(), F.when(delete_unseen, F.filter(rows, lambda r: r["speed"] >= 0)).otherwise(rows))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Whole seconds as ``H:MM:SS``, with days in front where there are any."""
+    whole = F.bround(seconds, 0).cast("bigint")
+    days, rest = F.floor(whole / 86400), whole % 86400
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    return F.concat(F.when(days == 0, F.lit("")).when(days == 1, F.lit("1 day, ")).otherwise(F.concat(days.cast("string"), F.lit(" days, "))), clock)
+
+
+def totals_text(metres: Column, seconds: Column) -> Column:
+    """Two lines on driving time and distance; a null time counts as none."""
+    km = F.regexp_replace(F.bround(metres / 1000, 2).cast("decimal(30,2)").cast("string"), "0$", "")
+    # The wording of the two lines.
+    return F.concat(
+        F.lit("Total driving time (sum of all cars): "), duration_text(F.coalesce(seconds, F.lit(0.0))),
+        F.lit("\nTotal KMs driven: "), km, F.lit(" km\n"),
+    )
+
+
+def finished_text(finished: Column, vehicles: Column, active: Column) -> Column:
+    # The wording of the two lines.
+    return F.concat(
+        F.lit("Finished vehicles: "), finished.cast("string"), F.lit(" / "), vehicles.cast("string"),
+        F.lit("\nActive vehicles: "), active.cast("string"),
+    )
+
+
 def polyline_point(line: Column, fraction: Column) -> Column:
     """Point at a length fraction of a polyline given as an array of ``(x, y)`` structs."""
     legs = F.zip_with(

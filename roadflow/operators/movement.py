@@ -22,7 +22,7 @@ END_SNAP_M = 2
 FREE, MOVER, WAITER = 0, 1, 2
 
 
-def proposed_speed(ready: DataFrame, view: DataFrame, segments: DataFrame, tolerance_us: int, **resolution: int) -> DataFrame:
+def proposed_speed(ready: DataFrame, view: DataFrame, segments: DataFrame, tolerance_us: int) -> DataFrame:
     """Speed and whether the vehicle enters its next segment.
 
     At a segment end the next segment counts from its start, unless it is
@@ -37,7 +37,7 @@ def proposed_speed(ready: DataFrame, view: DataFrame, segments: DataFrame, toler
         F.col("time_offset_us").alias("timestamp"),
         F.when(enters, F.lit(0.0)).otherwise(F.col("start_distance_offset")).alias("offset_m"),
     )
-    levels = service_levels(probes, view, segments, tolerance_us, **resolution).select(F.col("probe_id").alias("id"), "los")
+    levels = service_levels(probes, view, segments, tolerance_us).select(F.col("probe_id").alias("id"), "los")
     limit = F.when(enters, F.col("limit1")).otherwise(F.col("limit0"))
     stands = F.col("los").isNull() | (F.col("los") == float("inf"))
     return ready.join(levels, "id", "left").withColumns(
@@ -172,12 +172,12 @@ def records(rows: DataFrame) -> DataFrame:
 
 def advance(
     due: DataFrame, queue: DataFrame, view: DataFrame, segments: DataFrame, state: DataFrame,
-    tolerance_us: int, **resolution: int,
+    tolerance_us: int,
 ) -> DataFrame:
     """Judge and settle one step; one row per due vehicle."""
     ready = cut_lineage(with_segments(due, segments, state))
     # The queue scan reads the judged moves twice; the table keeps the service levels from running twice.
-    judged = cut_lineage(proposed_move(proposed_speed(ready, view, segments, tolerance_us, **resolution)))
+    judged = cut_lineage(proposed_move(proposed_speed(ready, view, segments, tolerance_us)))
     return settle(queue_scan(judged, queue))
 
 

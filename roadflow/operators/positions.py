@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.functions.scalars import mps_to_kph, polyline_point
+from roadflow.functions.scalars import drawn_at, mps_to_kph, polyline_point
 from roadflow.session import cut_lineage
 
 SEGMENT = ["node_from", "node_to"]
@@ -28,11 +28,18 @@ def segment_lines(segments: DataFrame, nodes: DataFrame, lines: DataFrame | None
     return straight.join(lines, SEGMENT, "left").select(*SEGMENT, F.coalesce("line", fallback).alias("line"))
 
 
-def shortest_line(edges: DataFrame) -> DataFrame:
-    """Line and class of the shortest of parallel edges."""
-    return edges.groupBy(*SEGMENT).agg(
+def shortest_line(edges: DataFrame, level: str | None = None) -> DataFrame:
+    """Line and class of the shortest of parallel edges, of the classes drawn at a zoom level.
+
+    The shortest edge decides: if its class isn't drawn, the segment isn't.  An
+    edge without a class is drawn at every level.
+    """
+    shortest = edges.groupBy(*SEGMENT).agg(
         F.min_by(F.struct("highway", "line"), F.struct("length_m", "edge_key")).alias("e")
     ).select(*SEGMENT, "e.*")
+    if level is None:
+        return shortest
+    return shortest.where(F.col("highway").isNull() | drawn_at(F.col("highway"), level))
 
 
 def gps_points(records: DataFrame, nodes: DataFrame, lines: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,20 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from roadflow.plans.simulate import Settings
+
+@dataclass(frozen=True)
+class Settings:
+    """Settings of a recorded run; durations in microseconds."""
+
+    departure_time: str = "2021-01-01 00:00:00"
+    round_us: int = 5_000_000
+    tolerance_us: int = 5_000_000
+    map_update_us: int = 1_000_000
+    k_alternatives: int = 1
+    travel_time_limit: float | None = 0.0
+    seed: int = 0
+    stuck_rounds: int = 0
+    plateau_default_route: bool = False
 
 
 def _rest(*shares: float) -> float:
@@ -46,9 +59,6 @@ class RunConfig:
     selection: SelectionRatio = field(default_factory=SelectionRatio)
     out: str = "simulation-record"
     speeds_path: str | None = None
-    continue_from: str | None = None
-    walltime_s: float | None = None
-    saving_interval_s: float | None = None
     max_records_per_file: int = 1_000_000_000
 
 
@@ -78,6 +88,6 @@ def load_config(path: str, workdir: str | None = None) -> RunConfig:
     )
     return RunConfig(
         vehicles, settings, _ratio(AlternativesRatio, data.get("alternatives", {})), _ratio(SelectionRatio, data.get("route-selection", {})),
-        run.get("out", RunConfig.out), run.get("speeds-path") or None, run.get("continue-from") or None,
-        run.get("walltime-s"), run.get("saving-interval-s"), run.get("max-records-per-file", RunConfig.max_records_per_file),
+        run.get("out", RunConfig.out), run.get("speeds-path") or None,
+        run.get("max-records-per-file", RunConfig.max_records_per_file),
     )

@@ -1,17 +1,12 @@
-"""The entry points as jobs: demand, map, simulation, aggregation, reports."""
+"""The entry points as jobs: demand, map, aggregation, reports."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import travel_time
-from roadflow.operators import demand, filling, frames, network, positions, reports, routing, vehicles
-from roadflow.plans import simulate
-from roadflow.plans.config import RunConfig
+from roadflow.operators import demand, filling, frames, network, positions, reports, routing
 from roadflow.sources import tables
 
 
@@ -28,9 +23,13 @@ def combine_od(spark: SparkSession, rules_path: str, out: str, sep: str = ";") -
 
 def od_to_vehicles(
     spark: SparkSession, od: DataFrame, nodes: DataFrame, segments: DataFrame, frequency_s: int = 20, sampling_s: int = 5,
-    no_routing: bool = False,
+    no_routing: bool = False, download_date: str | None = None, grow_lat: float = 0.0, grow_lon: float = 0.0, **limits: float,
 ) -> DataFrame:
-    """Vehicles with the fastest route between the nearest nodes, or just the two nodes."""
+    """Vehicles with the fastest route between the nearest nodes, or just the two nodes.
+
+    Box and day of the map come along; ``limits`` are the caller's own ``south``,
+    ``north``, ``west`` and ``east``.
+    """
     ends = demand.od_nodes(od, nodes)
     if no_routing:
         routed = ends.withColumn("osm_route", F.array("origin_node", "dest_node"))
@@ -42,7 +41,8 @@ def od_to_vehicles(
         )
         paths = routing.best_paths(edges, asked).select("request_id.origin_node", "request_id.dest_node", F.col("path").alias("osm_route"))
         routed = ends.join(paths, ["origin_node", "dest_node"], "left")
-    return demand.vehicles_from_routes(od, routed, frequency_s, sampling_s)
+    box = demand.bounding_box(od, grow_lat, grow_lon, **limits)
+    return demand.vehicles_from_routes(od, routed, frequency_s, sampling_s, box, download_date)
 
 
 def build_map(spark: SparkSession, graphml: str, out: str) -> None:
@@ -51,62 +51,16 @@ def build_map(spark: SparkSession, graphml: str, out: str) -> None:
     tables.save_table(nodes, f"{out}/nodes")
 
 
-def save_every(folder: str, seconds: float) -> Callable[[simulate.State], None]:
-    """Hook that saves the state when the interval has passed."""
-    last = time.time()
-
-    def hook(state: simulate.State) -> None:
-        nonlocal last
-        if time.time() - last >= seconds:
-            tables.save_state(state, folder)
-            last = time.time()
-
-    return hook
-
-
-def save_once_after(folder: str, seconds: float) -> Callable[[simulate.State], None]:
-    """Hook that saves the state once, at the wall time."""
-    began, done = time.time(), False
-
-    def hook(state: simulate.State) -> None:
-        nonlocal done
-        if not done and time.time() - began >= seconds:
-            tables.save_state(state, folder)
-            done = True
-
-    return hook
-
-
-def run_simulation(spark: SparkSession, config: RunConfig, segments: DataFrame) -> simulate.State:
-    began = time.time()
-    fleet, meta = tables.load_vehicles(spark, config.vehicles_path)
-    fleet = vehicles.assign_behaviour(fleet, config.alternatives.as_list(), config.selection.as_list(), config.settings.seed)
-    store = tables.RecordStore(spark, config.out, config.max_records_per_file)
-    state = simulate.start(spark, fleet, segments)
-    rules = tables.read_restrictions(spark, config.speeds_path) if config.speeds_path else None
-    hooks = []
-    if config.saving_interval_s:
-        hooks.append(save_every(f"{config.out}/state-interval", config.saving_interval_s))
-    if config.walltime_s:
-        hooks.append(save_once_after(f"{config.out}/state-walltime", config.walltime_s))
-    state, history = simulate.run(state, config.settings, rules, f"{config.out}/raw", hooks)
-    store.append(simulate.stored_form(history))
-    store.write_metadata(
-        departure_time=config.settings.departure_time, round_freq_s=config.settings.round_us // 1_000_000,
-        computational_time=time.time() - began, **meta,
-    )
-    if state.steps:
-        spark.createDataFrame(state.steps).write.mode("overwrite").parquet(f"{config.out}/steps")
-    return state
-
-
-def aggregate(spark: SparkSession, records: DataFrame, out: str, frames_wanted: int | None, round_freq_s: int, interval_s: int | None = None) -> int:
-    """Frame rows, index and summary; returns the frame width."""
+def aggregate(
+    spark: SparkSession, records: DataFrame, out: str, frames_wanted: int | None, round_freq_s: int, interval_s: int | None = None,
+    source: dict | None = None,
+) -> int:
+    """Frame rows, index and summary with the run's own attributes; returns the frame width."""
     span = frames.time_range(records).first()
     width = frames.frame_interval(span.max_timestamp - span.min_timestamp, frames_wanted, round_freq_s, interval_s)
     rows = frames.frame_rows(records, width)
     tables.write_frames(
-        rows, frames.frame_index(rows, frames.added_stats(records, width)), frames.run_summary(records, rows, width), out
+        rows, frames.frame_index(rows, frames.added_stats(records, width)), frames.run_summary(records, rows, width), out, source=source
     )
     return width
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def build_session(app: str = "roadflow", master: str | None = None, cores: int |
         builder = builder.master(master or f"local[{cores}]")
     if cores:
         builder = builder.config("spark.sql.shuffle.partitions", str(cores))
-        builder = builder.config("spark.driver.memory", os.environ.get("ROADFLOW_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("ROADFLOW_DRIVER_MEMORY", "8g"))
         builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
@@ -31,10 +32,16 @@ def build_session(app: str = "roadflow", master: str | None = None, cores: int |
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a scratch folder only where none is set."""
+    """The folder the cluster names for intermediate tables.
+
+    Where driver and executors are one process, and only there, a scratch folder
+    stands in for one that isn't set.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="roadflow-")
         context.setCheckpointDir(named)
     return named

@@ -58,8 +58,8 @@ class RecordStore:
         if not resume and self._exists():
             raise FileExistsError(f"records exist at {self.path}")
 
-    def _exists(self) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/fcd")
+    def _exists(self, part: str = "fcd") -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def append(self, records: DataFrame) -> None:
@@ -80,6 +80,13 @@ class RecordStore:
     def metadata(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/run_metadata")
 
+    def attributes(self) -> dict:
+        """The run's attributes; none where the run wrote none."""
+        if not self._exists("run_metadata"):
+            return {}
+        row = self.metadata().first()
+        return row.asDict() if row else {}
+
 
 def load_records(spark: SparkSession, path: str, pattern: str = "*.parquet", per_file: int | None = None) -> DataFrame:
     """Records of a file or folder; ``per_file`` keeps the first rows of each file."""
@@ -90,8 +97,13 @@ def load_records(spark: SparkSession, path: str, pattern: str = "*.parquet", per
     if per_file is None:
         return records
     files = records.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start")})
-    ranked = files.withColumn("__n", F.row_number().over(W.partitionBy("__file").orderBy("__block", "seq")))
-    return ranked.where(F.col("__n") <= per_file).drop("__file", "__block", "__n")
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        ranked = rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("__block", "seq")))
+        return ranked.where(F.col("__n") <= per_file).drop("__n")
+
+    # Per block of a file first, so that no task sees a whole file.
+    return first(first(files, "__file", "__block"), "__file").drop("__file", "__block")
 
 
 def with_datetime(records: DataFrame) -> DataFrame:
@@ -100,13 +112,32 @@ def with_datetime(records: DataFrame) -> DataFrame:
     return records.withColumn("datetime", F.timestamp_add("SECOND", F.col("timestamp"), zero))
 
 
-def merge_records(records: DataFrame) -> DataFrame:
-    """All parts in time order; ties in append order."""
-    return records.orderBy("timestamp", "seq")
-
-
-def write_frames(rows: DataFrame, index: DataFrame, metadata: DataFrame, path: str, bucket: int = 1024) -> None:
-    """Frame rows in frame buckets, sorted inside, with index and metadata."""
+def merge_records(spark: SparkSession, runs: list[str], out: str) -> None:
+    """One record store from several: all records in time order, ties in append order.
+
+    The attributes of the runs come along; where they differ, the first run counts.
+    """
+    stores = [RecordStore(spark, path, resume=True) for path in runs]
+    merged = RecordStore(spark, out)
+    records = stores[0].records()
+    for store in stores[1:]:
+        records = records.unionByName(store.records())
+    merged.append(records.orderBy("timestamp", "seq"))
+    attributes: dict = {}
+    for store in stores:
+        for name, value in store.attributes().items():
+            attributes.setdefault(name, value)
+    if attributes:
+        merged.write_metadata(**attributes)
+
+
+def write_frames(rows: DataFrame, index: DataFrame, metadata: DataFrame, path: str, bucket: int = 1024, source: dict | None = None) -> None:
+    """Frame rows in frame buckets, sorted inside, with index and metadata.
+
+    ``source`` are the attributes of the run that was aggregated; the metadata
+    repeats them, its own columns first.
+    """
+    metadata = metadata.withColumns({k: F.lit(v) for k, v in (source or {}).items() if k not in metadata.columns})
     bucketed = rows.withColumn("bucket", F.floor(F.col("frame_id") / bucket))
     ordered = bucketed.repartitionByRange("bucket", "frame_id", "node_from", "node_to").sortWithinPartitions(
         "bucket", "frame_id", "node_from", "node_to", "count_unique_first"
@@ -136,19 +167,28 @@ def write_od(od: DataFrame, path: str) -> None:
 
 
 def read_od(spark: SparkSession, path: str, sep: str = ";", limit: int | None = None) -> DataFrame:
-    """OD rows by header name; ``limit`` keeps the first rows of the file."""
+    """OD rows by header name; ``limit`` keeps the first rows of the file, in its order."""
     names = [c.split()[0] for c in schemas.OD_MATRIX.split(", ")]
     types = dict(c.split() for c in schemas.OD_MATRIX.split(", "))
     raw = spark.read.csv(path, header=True, sep=sep)
     if limit is not None:
-        raw = raw.limit(limit)
-    return raw.select(*[F.col(n).cast("double").cast(types[n]).alias(n) for n in names if n in raw.columns])
+        raw = _first_lines(raw, limit)
+    # Whole numbers may be written as decimals; a decimal type keeps all their digits.
+    via = {"bigint": "decimal(38,6)"}
+    return raw.select(*[F.col(n).cast(via.get(types[n], "double")).cast(types[n]).alias(n) for n in names if n in raw.columns])
+
+
+def _first_lines(raw: DataFrame, limit: int) -> DataFrame:
+    """The first rows in file order: by file, block of the file, and place in the block."""
+    placed = raw.withColumns({
+        "__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
+    return placed.orderBy("__file", "__block", "__at").limit(limit).drop("__file", "__block", "__at")
 
 
 def read_routing_pairs(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """First ``limit`` rows of a comma file of vehicle, origin and destination."""
+    """First ``limit`` rows of a comma file of vehicle, origin and destination, in its order."""
     rows = spark.read.schema("request_id bigint, origin bigint, dest bigint").csv(path, header=True)
-    return rows.limit(limit)
+    return _first_lines(rows, limit)
 
 
 def read_rules(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
@@ -167,11 +207,16 @@ def read_matrices(spark: SparkSession, paths: list[str], sep: str = ";") -> Data
 
 
 def read_restrictions(spark: SparkSession, path: str) -> DataFrame:
-    """Temporary speeds; rows with fewer than five fields are skipped."""
-    rows = spark.read.schema(schemas.RESTRICTIONS).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(
-        path, header=True, sep=";", mode="DROPMALFORMED"
-    )
-    return rows.where("timestamp_to IS NOT NULL")
+    """Temporary speeds; rows with fewer than five fields are skipped, unreadable values are errors."""
+    columns = [c.split() for c in schemas.RESTRICTIONS.split(", ")]
+    text = ", ".join(f"{name} string" for name, _ in columns)
+    rows = spark.read.schema(text).csv(path, header=True, sep=";", enforceSchema=True).where("timestamp_to IS NOT NULL")
+
+    def read(name: str, kind: str):
+        value = F.trim(name)
+        return F.to_timestamp_ntz(value, F.lit("yyyy-MM-dd HH:mm:ss")) if kind == "timestamp_ntz" else value.cast(kind)
+
+    return rows.select(*[read(name, kind).alias(name) for name, kind in columns])
 
 
 def write_text_table(df: DataFrame, path: str, order: str, sep: str = ";") -> None:
@@ -216,28 +261,39 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-# --- saved state ---------------------------------------------------------------------------------
-
-STATE_TABLES = ["vehicles", "queue", "opened", "view", "segments", "state"]
-
-
-def save_state(state, folder: str) -> None:
-    """Whole simulation state; a complete save replaces the pointer file last."""
-    spark = state.vehicles.sparkSession
-    target = f"{folder.rstrip('/')}/step={state.step}"
-    for name in STATE_TABLES:
-        getattr(state, name).write.mode("overwrite").parquet(f"{target}/{name}")
-    row = [(state.step, state.clock_us, state.map_id)]
-    spark.createDataFrame(row, "step int, clock_us bigint, map_id int").write.mode("overwrite").parquet(f"{target}/counters")
-
-
-def load_state(spark: SparkSession, folder: str, step: int):
-    from roadflow.plans.simulate import State
-
-    source = f"{folder.rstrip('/')}/step={step}"
-    counters = spark.read.parquet(f"{source}/counters").first()
-    tables = {name: spark.read.parquet(f"{source}/{name}") for name in STATE_TABLES}
-    return State(**tables, step=counters.step, clock_us=counters.clock_us, map_id=counters.map_id)
+def write_graphml(nodes: DataFrame, segments: DataFrame, path: str) -> None:
+    """A map as GraphML: text parts that make up one document in the order of their names.
+
+    ``nodes(node_id, lon, lat)``, ``segments(node_from, node_to, length_m,
+    max_speed_kph, lanes, highway)``; ``read_graphml`` reads the folder back.
+    """
+    keys = [("node", "y", "double"), ("node", "x", "double"), ("edge", "length", "double"), ("edge", "maxspeed", "string"),
+            ("edge", "lanes", "string"), ("edge", "highway", "string"), ("edge", "oneway", "string")]
+    numbers = {(kind, name): f"d{n}" for n, (kind, name, _) in enumerate(keys)}
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    head += [f'<key id="{numbers[kind, name]}" for="{kind}" attr.name="{name}" attr.type="{value}"/>' for kind, name, value in keys]
+    head.append('<graph edgedefault="directed">')
+
+    def data(kind: str, name: str, value: F.Column):
+        text = value.cast("string")
+        for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(sign), F.lit(entity))
+        return F.when(value.isNotNull(), F.concat(F.lit(f'<data key="{numbers[kind, name]}">'), text, F.lit("</data>"))).otherwise(F.lit(""))
+
+    spark = nodes.sparkSession
+    edge = [data("edge", "length", F.col("length_m").cast("double")), data("edge", "maxspeed", F.col("max_speed_kph")),
+            data("edge", "lanes", F.col("lanes")), data("edge", "highway", F.col("highway")), data("edge", "oneway", F.lit("True"))]
+    frame = spark.createDataFrame([(0, n, 0, line) for n, line in enumerate(head)] + [(3, 0, 0, "</graph></graphml>")], "part int, a long, b long, value string")
+    node_lines = nodes.select(F.lit(1).alias("part"), F.col("node_id").alias("a"), F.lit(0).cast("long").alias("b"), F.concat(
+        F.lit('<node id="'), F.col("node_id").cast("string"), F.lit('">'), data("node", "y", F.col("lat")), data("node", "x", F.col("lon")), F.lit("</node>")).alias("value"))
+    edge_lines = segments.select(F.lit(2).alias("part"), F.col("node_from").alias("a"), F.col("node_to").alias("b"), F.concat(
+        F.lit('<edge source="'), F.col("node_from").cast("string"), F.lit('" target="'), F.col("node_to").cast("string"), F.lit('" id="0">'), *edge, F.lit("</edge>")).alias("value"))
+    frame.union(node_lines).union(edge_lines).orderBy("part", "a", "b").select("value").write.mode("errorifexists").text(path)
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Weekly speed profiles of segments, checked for completeness."""
+    return check_profiles(spark.read.schema(schemas.PROFILES).parquet(path))
 
 
 def check_profiles(profiles: DataFrame) -> DataFrame:

@@ -158,25 +158,6 @@ class IncrementalView(_Partials):
         return self._read("levels").drop("batch")
 
 
-class IncrementalQueues(_Partials):
-    """Queues over a stream of ``(node_from, node_to, vehicle_id, seq, kind)`` with kind ``join`` or ``leave``.
-
-    A vehicle waits where it joined after it last left.
-    """
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        self._write(batch.groupBy(*SEGMENT, "vehicle_id").agg(
-            F.max(F.when(F.col("kind") == "join", F.col("seq"))).alias("joined"),
-            F.max(F.when(F.col("kind") == "leave", F.col("seq"))).alias("left"),
-        ), "moves", batch_id)
-
-    def waiting(self) -> DataFrame:
-        last = self._read("moves").groupBy(*SEGMENT, "vehicle_id").agg(F.max("joined").alias("joined"), F.max("left").alias("left"))
-        return last.where("joined IS NOT NULL AND (left IS NULL OR joined > left)").select(
-            *SEGMENT, "vehicle_id", F.col("joined").alias("pos")
-        )
-
-
 def windowed_frames(stream: DataFrame, interval_s: int, lateness: str = "0 seconds") -> DataFrame:
     """Native watermarked form: speed sum and count per centred frame and segment.
 
@@ -192,4 +173,4 @@ def windowed_frames(stream: DataFrame, interval_s: int, lateness: str = "0 secon
     )
 
 
-__all__ = ["IncrementalFrames", "IncrementalView", "IncrementalQueues", "windowed_frames", "run_available"]
+__all__ = ["IncrementalFrames", "IncrementalView", "windowed_frames", "run_available"]

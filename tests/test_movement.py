@@ -1,14 +1,9 @@
-"""Movement: fixture cases, and whole runs against the row-by-row model."""
-
-import copy
-import random
+"""Rules from one snapshot to the next: fixture cases."""
 
 import pytest
 from pyspark.sql import functions as F
 
-import stepper
 from roadflow.operators import movement
-from roadflow.plans import simulate
 
 V = 50 * 1000 / 3600
 FLEET = (
@@ -17,7 +12,7 @@ FLEET = (
 )
 SEGMENTS = "node_from long, node_to long, length_m int, max_speed_kph int, lanes int"
 VIEW = "vehicle_id long, node_from long, node_to long, timestamp long, offset_m double"
-QUEUE = simulate.QUEUE_SCHEMA
+QUEUE = "node_from bigint, node_to bigint, vehicle_id bigint, pos struct<step:int,phase:int,rank:bigint>"
 
 
 def one_step(spark, index, position, queue=(), view=(), closed=False, extra=()):
@@ -75,43 +70,3 @@ def test_queue_goes_on_until_one_is_stuck(spark):
     assert [rows[v].phase for v in (1, 0, 2)] == [movement.MOVER] * 3 and all(rows[v].leaves for v in rows)
     rows, _ = one_step(spark, 0, 1000.0, queue=[1, 0, 2], extra=extra, view=jam((1, 2)))
     assert [rows[v].phase for v in (1, 0, 2)] == [movement.MOVER, movement.WAITER, movement.WAITER]
-
-
-def random_case(seed):
-    rnd = random.Random(seed)
-    nodes = 6
-    segments = {(a, (a + s) % nodes): {"length": rnd.randint(60, 160), "kph": rnd.choice([30, 50, 70]), "lanes": rnd.choice([1, 2])} for a in range(nodes) for s in (1, 2)}
-    fleet = []
-    for v in range(12):
-        route = [rnd.choice([0, 0, 3])]
-        for _ in range(rnd.randint(2, 4)):
-            route.append((route[-1] + rnd.choice([1, 1, 2])) % nodes)
-        fleet.append({"id": v, "t": 5_000_000 * rnd.randint(1, 2), "freq": 5_000_000, "period": 2_000_000, "i": 0, "m": 0.0, "route": route, "dest": route[-1], "active": True})
-    return fleet, segments
-
-
-def spark_run(spark, fleet, segments, steps):
-    f = spark.createDataFrame([(v["id"], v["t"], v["freq"], v["i"], v["m"], v["route"][0], v["dest"], v["route"], True, v["period"], "") for v in fleet], FLEET)
-    s = spark.createDataFrame([(a, b, x["length"], x["kph"], x["lanes"]) for (a, b), x in segments.items()], SEGMENTS)
-    state, history = simulate.run(simulate.start(spark, f, s), simulate.Settings(tolerance_us=5_000_000, max_steps=steps))
-    rows = sorted(history.collect(), key=lambda r: r.seq)
-    return state, [(r.vehicle_id, r.timestamp, (r.node_from, r.node_to), r.offset_m, r.speed_mps, r.active) for r in rows]
-
-
-def test_run_matches_the_row_by_row_model(spark):
-    fleet, segments = random_case(11)
-    want = stepper.run(copy.deepcopy(fleet), segments, 5_000_000, 5_000_000, 5)
-    state, got = spark_run(spark, fleet, segments, 5)
-    assert len(got) == len(want) and state.step == 5
-    for g, w in zip(got, want):
-        assert g[:3] == (w["v"], w["t"], w["seg"]) and g[5] is w["active"]
-        assert g[3:5] == pytest.approx((w["x"], w["u"]))
-
-
-def test_run_ends_with_everyone_arrived(spark):
-    fleet = [{"id": v, "t": 5_000_000, "freq": 5_000_000, "period": 5_000_000, "i": 0, "m": 0.0, "route": [0, 1, 2], "dest": 2, "active": True} for v in (1, 2)]
-    segments = {(0, 1): {"length": 60, "kph": 50, "lanes": 1}, (1, 2): {"length": 60, "kph": 50, "lanes": 1}}
-    state, got = spark_run(spark, fleet, segments, None)
-    assert state.vehicles.where("active").isEmpty() and state.queue.isEmpty()
-    assert {r.start_index for r in state.vehicles.collect()} == {1}
-    assert sum(not r[5] for r in got) == 2

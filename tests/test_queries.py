@@ -26,6 +26,6 @@ def test_matches_sql(spark, con, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("name", ["comparison_table_s28_c6", "simulation_steps_v1_v9"])
+@pytest.mark.parametrize("name", ["comparison_table_s28_c6"])
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0

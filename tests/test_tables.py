@@ -9,7 +9,7 @@ from roadflow.functions import scalars as s
 from roadflow.operators import demand, filling, frames, network, positions, vehicles
 from roadflow.plans import config, jobs
 from roadflow.sources import tables
-from roadflow.streaming.incremental import IncrementalFrames, IncrementalQueues, run_available
+from roadflow.streaming.incremental import IncrementalFrames, run_available
 
 RECORD = (
     "seq long, timestamp long, vehicle_id long, node_from long, node_to long, speed_mps double, start_offset_m float, "
@@ -238,14 +238,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key
 
 
-def test_queue_stream(spark, tmp_path):
-    moves = [(1, 2, 5, 0, "join"), (1, 2, 6, 1, "join"), (1, 2, 5, 2, "leave"), (3, 4, 5, 3, "join")]
-    job = IncrementalQueues(spark, str(tmp_path / "q"))
-    for n, m in enumerate(moves):
-        job.process(spark.createDataFrame([m], "node_from long, node_to long, vehicle_id long, seq long, kind string"), n)
-    assert sorted((r.node_from, r.vehicle_id) for r in job.waiting().collect()) == [(1, 6), (3, 5)]
-
-
 def test_polyline_point(spark):
     line = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 3D, 'y', 0D), named_struct('x', 3D, 'y', 1D))"
     df = spark.sql(f"SELECT {line} AS line, explode(array(0D, 0.5D, 0.75D, 0.875D, 1D)) AS w")
