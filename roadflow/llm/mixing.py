@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadflow.session import cut_lineage
+
 _UNIT = float(1 << 60)
 
 
@@ -79,7 +81,8 @@ def mix(
     """
     docs = docs.drop("copy", "shuffle_key")
     rates = source_rates(docs, source, weights, rows).withColumn("__steps", poisson_steps(F.col("rate")))
-    rates = rates.withColumn("__steps", F.when(F.col("rate") > 0, F.col("__steps"))).drop("rate")
+    # Written first, so that its size is known when the join is planned and the rows need not be dealt by source.
+    rates = cut_lineage(rates.withColumn("__steps", F.when(F.col("rate") > 0, F.col("__steps"))).drop("rate"))
     chance = _hash60(F.lit(str(seed)), _text(key)) / F.lit(_UNIT)
     counted = (
         docs.withColumn("__chance", chance)
