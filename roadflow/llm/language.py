@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadflow.session import cut_lineage
+
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -45,6 +47,8 @@ def train(texts: dict[str, list[bytes]], order: int = 4, cells: int = 6_000_000)
     so with a context its shorter beginnings and endings stay.
     """
     languages = sorted(texts)
+    if not languages:
+        return ContextModel([], order, np.zeros(256, np.int64), 2, np.zeros((2, 0), np.float32), np.zeros(2, np.int32))
     seen = np.zeros(256, bool)
     for parts in texts.values():
         for part in parts:
@@ -201,7 +205,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key, folds)
         & (F.octet_length(text) <= sample_bytes)
     ).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
+    # Written first, so that its size is known when the join is planned and the texts stay where they are.
+    sizes = cut_lineage(labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")))
     chance = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("size", F.lit(1)))
     draw = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = labelled.join(sizes, "lang").where(draw < chance).select("lang", "text").collect()
