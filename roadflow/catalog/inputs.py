@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadflow.operators.ordering import time_order
+
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -46,10 +48,10 @@ def fcd(spark: SparkSession, folder: str, with_active: bool = True) -> DataFrame
     ends = (
         base.where(F.col("vehicle_id") % 5 != 0)
         .groupBy("vehicle_id")
-        .agg(F.max(F.struct("timestamp", "seq")).alias("end"))
-        .select(F.col("end.seq").alias("seq"), F.lit(False).alias("__ends"))
+        .agg(F.max_by("seq", time_order()).alias("__end"))
     )
-    return base.join(ends, "seq", "left").withColumn("active", F.coalesce("__ends", F.lit(True))).drop("__ends")
+    return base.join(ends, "vehicle_id", "left").withColumn("active", ~F.coalesce(F.col("seq") == F.col("__end"), F.lit(False))).select(
+        *base.columns, "active")
 
 
 FCD_SQL = """

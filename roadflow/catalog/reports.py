@@ -60,10 +60,7 @@ def behaviours(spark, folder):
     )
 
 
-@query(
-    "interval_log_a15_w7",
-    LOG
-    + """
+_LOG_CTES = """
     , inside AS (
       SELECT interval AS k, count(DISTINCT vehicle_id) AS active_vehicles,
              count(DISTINCT vehicle_id) FILTER (NOT active) AS finished_vehicles,
@@ -91,6 +88,13 @@ def behaviours(spark, folder):
         count(DISTINCT vehicle_id) FILTER (vehicle_id // 2 % 4 = 2) AS selection_random,
         count(DISTINCT vehicle_id) FILTER (vehicle_id // 2 % 4 = 3) AS selection_ptdr
       FROM log_rows GROUP BY interval)
+"""
+
+
+@query(
+    "interval_log_a15_w7",
+    LOG + _LOG_CTES
+    + """
     SELECT k AS interval, (k + 1) * 1440 AS offset_minutes, inside.* EXCLUDE (k), total.* EXCLUDE (k), modes.* EXCLUDE (k)
     FROM inside JOIN total USING (k) JOIN modes USING (k)""",
 )
@@ -138,7 +142,27 @@ def vehicle_speed_classes_since_start(spark, folder):
     return reports.total_speed_classes(cut_lineage(facts(spark, folder, ["vehicle_id"])), ["vehicle_id"], DAY)
 
 
-@query("comparison_table_s28_c6")
+def _comparison_sql():
+    """The log and the four class tables side by side, as texts under the file's headers."""
+    parts = [("s_in", "driven", "interval", "node_from, node_to"), ("s_all", "since", "k", "node_from, node_to"),
+             ("v_in", "driven", "interval", "vehicle_id"), ("v_all", "since", "k", "vehicle_id")]
+    classes = "".join(
+        f""", {name}_means AS (SELECT {span} AS k, {key}, sum(speed_mps * greatest(dt, 1)) / sum(greatest(dt, 1)) AS v FROM {source} GROUP BY ALL),
+        {name} AS (SELECT k, {_CLASSES} FROM {name}_means GROUP BY k)"""
+        for name, source, span, key in parts)
+    log = ["(k + 1) * 1440", "active_vehicles", "active_vehicles_since_start",
+           *[f"alternative_{x}" for x in reports.ALTERNATIVES], *[f"selection_{x}" for x in reports.SELECTIONS],
+           "finished_vehicles", "finished_vehicles_since_start", "meters", "meters_since_start", "driving_minutes",
+           "driving_minutes_since_start", "segments", "segments_since_start"]
+    texts = [f"coalesce({c}, 0)::VARCHAR" for c in log]
+    texts += [f"replace(coalesce(round_even({c}, 2)::VARCHAR, 'NaN'), '.', ',')" for c in ("average_speed_kph", "average_speed_kph_since_start")]
+    texts += [f"coalesce({name}.class_{c}, 0)::VARCHAR" for name, *_ in parts for c in reports.CLASS_NAMES]
+    columns = ", ".join(f'{t} AS "{h}"' for t, h in zip(texts, reports.comparison_header(), strict=True))
+    joins = " ".join(f"LEFT JOIN {name} USING (k)" for name, *_ in parts)
+    return LOG + _LOG_CTES + classes + f" SELECT k AS interval, {columns} FROM inside JOIN total USING (k) JOIN modes USING (k) {joins}"
+
+
+@query("comparison_table_s28_c6", _comparison_sql())
 def comparison_table(spark, folder):
     return reports.comparison_table(log_input(spark, folder), DAY, behaviours(spark, folder))
 

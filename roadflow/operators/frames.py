@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import centred_frame, first_half
-from roadflow.operators.ordering import running_total, with_neighbours
+from roadflow.operators.ordering import running_total, time_order, with_neighbours
 
 FRAME_KEY = ["frame_id", "node_from", "node_to"]
 FCD_FIELDS = [
@@ -46,9 +46,8 @@ def assign_frames(records: DataFrame, interval_s: int) -> DataFrame:
 
 def first_sightings(framed: DataFrame) -> DataFrame:
     """Where each vehicle shows up first in each frame."""
-    first = F.min(F.struct("timestamp", "seq", "node_from", "node_to", "in_first")).alias("s")
-    return framed.groupBy("frame_id", "vehicle_id").agg(first).select(
-        "frame_id", "vehicle_id", "s.node_from", "s.node_to", "s.in_first"
+    return framed.groupBy("frame_id", "vehicle_id").agg(
+        *[F.min_by(c, time_order()).alias(c) for c in ("node_from", "node_to", "in_first")]
     )
 
 

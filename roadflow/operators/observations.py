@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import mps_to_kph
 from roadflow.functions.service_level import service_level
+from roadflow.operators.ordering import time_order
 
 SEGMENT = ["node_from", "node_to"]
 
@@ -15,7 +16,7 @@ SEGMENT = ["node_from", "node_to"]
 def latest_speeds(view: DataFrame) -> DataFrame:
     """Last speed of each vehicle on each segment; ties on time go to the later append."""
     return view.groupBy(*SEGMENT, "vehicle_id").agg(
-        F.max_by("speed_mps", F.struct("timestamp", "seq")).alias("speed_mps")
+        F.max_by("speed_mps", time_order()).alias("speed_mps")
     )
 
 

@@ -189,20 +189,49 @@ def interval_speed_classes(facts: DataFrame) -> DataFrame:
 def total_speed_classes(facts: DataFrame, key: list[str], width_s: int) -> DataFrame:
     """The same since the start.
 
-    The facts hold at most one row per interval of a key, which bounds the
-    window below by the number of intervals.
+    Between two intervals with records of a key its mean speed is a fraction of
+    linear functions of the interval end, which only rises or only falls, so it
+    crosses each class bound at most once.  A stretch therefore counts from its
+    begin, at the crossing and at its end, and running sums over the intervals
+    make the counts; no interval looks at the stretches it lies in.
     """
-    last = facts.agg(F.max("interval").alias("m")).first()["m"]
+    last = facts.select(F.max("interval")).scalar()
     per_key = W.partitionBy(*key).orderBy("interval")
     upto = per_key.rowsBetween(W.unboundedPreceding, W.currentRow)
     states = facts.select(
-        *key, "interval", *[F.sum(c).over(upto).alias(c) for c in _COEFFICIENTS],
-        F.coalesce(F.lead("interval").over(per_key) - 1, F.lit(last)).alias("until"),
+        F.col("interval").alias("begin"), *[F.sum(c).over(upto).alias(c) for c in _COEFFICIENTS],
+        F.coalesce(F.lead("interval").over(per_key) - 1, last).alias("until"),
     )
-    each = states.withColumn("interval", F.explode(F.sequence("interval", "until")))
-    end = (F.col("interval") + 1) * width_s
-    speed = (F.col("w0") + F.col("w1") * end) / (F.col("t0") + F.col("t1") * end)
-    return each.withColumn("v", speed).groupBy("interval").agg(*_class_counts(F.col("v")))
+    bounds = [c / 3.6 for c in SPEED_CLASSES_KPH] + [10000.0]
+
+    def reaches(k: Column, bound: float) -> Column:
+        end = (k + 1) * width_s
+        return (F.col("w0") + F.col("w1") * end) / (F.col("t0") + F.col("t1") * end) >= bound
+
+    def changes(number: int, bound: float) -> Column:
+        before, after = reaches(F.col("begin"), bound), reaches(F.col("until"), bound)
+        end = F.try_divide(bound * F.col("t0") - F.col("w0"), F.col("w1") - bound * F.col("t1"))
+        near = F.floor(F.least(F.greatest(F.coalesce(end, F.lit(0.0)) / width_s - 1, F.col("begin").cast("double")), F.col("until").cast("double"))).cast("bigint")
+        # The formula places the crossing up to rounding; the neighbours are asked themselves.
+        found = F.filter(F.transform(F.array(*[F.lit(d) for d in range(-1, 3)]), lambda d: near + d),
+                         lambda k: (k > F.col("begin")) & (k <= F.col("until")) & (reaches(k, bound) == after))
+        crossing = F.coalesce(F.array_min(found), F.col("until"))
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        was, becomes = F.when(before, one).otherwise(none), F.when(after, one).otherwise(none)
+
+        def event(k: Column, delta: Column) -> Column:
+            return F.struct(k.cast("bigint").alias("interval"), F.lit(number).alias("bound"), delta.alias("delta"))
+
+        return F.array(event(F.col("begin"), was), event(crossing, becomes - was), event(F.col("until") + 1, -becomes))
+
+    events = states.select(F.inline(F.flatten(F.array(*[changes(n, b) for n, b in enumerate(bounds)])))).where("delta <> 0")
+    names = [f"n{n}" for n in range(len(bounds))]
+    steps = events.groupBy("interval").agg(
+        *[F.sum(F.when(F.col("bound") == n, F.col("delta")).otherwise(0)).alias(name) for n, name in enumerate(names)])
+    dense = _dense_intervals(facts).join(steps, "interval", "left").fillna(0, names)
+    counts = running_total(dense, [], ["interval"], F.floor(F.col("interval") / 4096), {f"at_{n}": F.col(n) for n in names})
+    return counts.select("interval", *[
+        (F.col(f"at_{low}") - F.col(f"at_{high}")).alias(f"class_{name}") for name, low, high in zip(CLASS_NAMES, names, names[1:])])
 
 
 # Header texts of the comparison file.
