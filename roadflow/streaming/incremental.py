@@ -3,11 +3,14 @@
 Each micro-batch adds partial results under ``batch=<id>``; a repeated batch
 overwrites its own folder, so a restart after a failure counts nothing twice.
 Reading merges the partials, the same way partial aggregates merge in a shuffle.
+Every so many batches the earlier partials are merged into one base, so state
+and reads grow with the keys and not with the number of batches.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +31,66 @@ def run_available(stream: DataFrame, process, checkpoint: str) -> None:
 
 
 class _Partials:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    """Partial results per batch, with a base of merged earlier ones.
+
+    ``merges`` says how the partials of each name merge; names without an entry
+    are results of their own and stay.  A base holds the batches below the one
+    that wrote it, so that batch can be repeated.
+    """
+
+    merges: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 16):
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
+
+    def _paths(self, name: str, part: str) -> dict[int, str]:
+        """Folders of the partials or bases of a name by their batch; none where there is no state yet."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        files = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return {}
+        found = {}
+        for status in files.listStatus(top):
+            key, _, value = status.getPath().getName().partition("=")
+            if key == part:
+                found[int(value)] = status.getPath().toString()
+        return found
+
+    def _complete(self, path: str) -> bool:
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        if name in self.merges and (batch + 1) % self.compact_every == 0:
+            self._compact(name, batch)
+
+    def _compact(self, name: str, batch: int) -> None:
+        earlier = self._read(name, batch)
+        if earlier is None:
+            return
+        self.merges[name](earlier).write.mode("overwrite").parquet(f"{self.folder}/{name}/base={batch}")
+        # The new base stands; what it holds and older bases can go.
+        used = [p for b, p in self._paths(name, "batch").items() if b < batch] + [p for b, p in self._paths(name, "base").items() if b < batch]
+        for path in used:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
+    def _read(self, name: str, below: int | None = None) -> DataFrame | None:
+        """All partials of a name, or those of batches below a number; None where there are none."""
+        bases = {b: p for b, p in self._paths(name, "base").items() if (below is None or b <= below) and self._complete(p)}
+        base = max(bases, default=None)
+        parts = [bases[base]] if base is not None else []
+        parts += [p for b, p in sorted(self._paths(name, "batch").items())
+                  if (base is None or b >= base) and (below is None or b < below)]
+        return self.spark.read.parquet(*parts) if parts else None
+
+
+_END = ["timestamp", "seq", *SEGMENT, "start_offset_m"]
+
+
+def _last_of_vehicle(ends: DataFrame) -> DataFrame:
+    return ends.groupBy("vehicle_id").agg(F.max(F.struct(*_END)).alias("e")).select("vehicle_id", "e.*")
 
 
 class IncrementalFrames(_Partials):
@@ -49,8 +101,16 @@ class IncrementalFrames(_Partials):
     across batches, as the simulation writes them.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, interval_s: int):
-        super().__init__(spark, folder)
+    merges = {
+        "speeds": lambda df: df.groupBy(*FRAME_KEY).agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "c1", "c2", "f")]),
+        "sightings": lambda df: df.groupBy("frame_id", "vehicle_id").agg(F.min("s").alias("s")),
+        "deltas": lambda df: df.groupBy("frame_id").agg(
+            *[F.sum(c).alias(c) for c in ("between_s", "opening_s", "openings", "distance_m")], F.min("t0").alias("t0")),
+        "ends": _last_of_vehicle,
+    }
+
+    def __init__(self, spark: SparkSession, folder: str, interval_s: int, compact_every: int = 16):
+        super().__init__(spark, folder, compact_every)
         self.interval_s = interval_s
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -75,11 +135,9 @@ class IncrementalFrames(_Partials):
     def _write_deltas(self, framed: DataFrame, batch_id: int) -> None:
         columns = ["vehicle_id", "timestamp", "seq", *SEGMENT, "start_offset_m"]
         rows = framed.select(*columns, "frame_id").withColumn("fresh", F.lit(True))
-        ends = self._read("ends")
+        ends = self._read("ends", batch_id)
         if ends is not None:
-            before = ends.where(F.col("batch") < batch_id).groupBy("vehicle_id").agg(
-                F.max(F.struct("timestamp", "seq", *SEGMENT, "start_offset_m")).alias("e")
-            ).select("vehicle_id", "e.*")
+            before = _last_of_vehicle(ends)
             rows = rows.unionByName(before.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
         paired = with_neighbours(
             rows, ["vehicle_id"], ["timestamp", "seq"], F.floor(F.col("timestamp") / 3600), ["timestamp", *SEGMENT, "start_offset_m"]
@@ -96,12 +154,7 @@ class IncrementalFrames(_Partials):
             ),
             "deltas", batch_id,
         )
-        self._write(
-            framed.groupBy("vehicle_id").agg(F.max(F.struct("timestamp", "seq", *SEGMENT, "start_offset_m")).alias("e")).select(
-                "vehicle_id", "e.*"
-            ),
-            "ends", batch_id,
-        )
+        self._write(_last_of_vehicle(framed.select("vehicle_id", *_END)), "ends", batch_id)
 
     def rows(self) -> DataFrame:
         """Merged frame rows, in the form of the batch aggregation."""
@@ -131,9 +184,16 @@ class IncrementalFrames(_Partials):
 class IncrementalView(_Partials):
     """The segment view over a record stream: latest speeds and service levels of each batch."""
 
-    def __init__(self, spark: SparkSession, folder: str, segments: DataFrame | None = None, tolerance: int = 0, keep: int = 0):
-        super().__init__(spark, folder)
+    def __init__(
+        self, spark: SparkSession, folder: str, segments: DataFrame | None = None, tolerance: int = 0, keep: int = 0, compact_every: int = 16
+    ):
+        super().__init__(spark, folder, compact_every)
         self.segments, self.tolerance, self.keep = segments, tolerance, keep
+        self.merges = {
+            "latest": lambda df: df.groupBy(*SEGMENT, "vehicle_id").agg(F.max("last").alias("last")),
+            # Records older than what any later batch keeps expire.
+            "view": lambda df: evict(df, df.agg(F.max("timestamp")).first()[0] - self.keep),
+        }
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         self._write(batch.groupBy(*SEGMENT, "vehicle_id").agg(
@@ -147,7 +207,7 @@ class IncrementalView(_Partials):
         columns = ["seq", "vehicle_id", *SEGMENT, "timestamp", F.col("start_offset_m").alias("offset_m")]
         now = batch.select(*columns)
         self._write(now, "view", batch_id)
-        view = evict(self._read("view").where(F.col("batch") <= batch_id), newest - self.keep)
+        view = evict(self._read("view", batch_id + 1), newest - self.keep)
         self._write(service_levels(now.withColumnRenamed("seq", "probe_id"), view, self.segments, self.tolerance), "levels", batch_id)
 
     def segment_speed(self) -> DataFrame:
@@ -155,7 +215,7 @@ class IncrementalView(_Partials):
         return latest.groupBy(*SEGMENT).agg(mps_to_kph(F.avg("last.speed_mps")).alias("speed_kph"))
 
     def levels(self) -> DataFrame:
-        return self._read("levels").drop("batch")
+        return self._read("levels")
 
 
 def windowed_frames(stream: DataFrame, interval_s: int, lateness: str = "0 seconds") -> DataFrame:

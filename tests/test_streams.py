@@ -1,10 +1,11 @@
 """Native watermarked frames and the incremental view against their batch forms."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadflow.operators import frames, observations
 from roadflow.sources import tables
-from roadflow.streaming.incremental import IncrementalView, run_available, windowed_frames
+from roadflow.streaming.incremental import IncrementalFrames, IncrementalView, run_available, windowed_frames
 
 RECORD = (
     "seq long, timestamp long, vehicle_id long, node_from long, node_to long, speed_mps double, start_offset_m float, "
@@ -54,6 +55,39 @@ def test_incremental_view(spark, tmp_path):
         assert levels[n].vehicles_ahead == len(ahead)
 
 
+def test_state_is_merged_and_batches_can_repeat(spark, tmp_path):
+    r = sample(spark).cache()
+    job = IncrementalFrames(spark, str(tmp_path / "s"), 30, compact_every=3)
+    view = IncrementalView(spark, str(tmp_path / "v"), compact_every=3)
+    for n in range(10):
+        part = r.where((F.col("seq") >= 6 * n) & (F.col("seq") < 6 * n + 6))
+        for _ in range(2 if n in (2, 3, 5, 8) else 1):  # a batch is repeated after a failure
+            job.process(part, n)
+            view.process(part, n)
+    assert len(list((tmp_path / "s" / "ends").glob("batch=*"))) == 2 and len(list((tmp_path / "s" / "ends").glob("base=*"))) == 1
+    key = ["frame_id", "node_from", "node_to"]
+    want = frames.frame_rows(r, 30)
+    assert sorted(map(tuple, job.rows().select(want.columns).collect())) == sorted(map(tuple, want.collect())) and key
+    assert sorted(map(tuple, job.stats().collect())) == sorted(map(tuple, frames.added_stats(r, 30).collect()))
+    assert sorted(map(tuple, view.segment_speed().collect())) == sorted(map(tuple, observations.segment_speed(r).collect()))
+
+
+def test_broken_state_is_an_error(spark, tmp_path):
+    r = sample(spark)
+    job = IncrementalFrames(spark, str(tmp_path / "s"), 30)
+    job.process(r.where("seq < 30"), 0)
+    for file in (tmp_path / "s" / "ends" / "batch=0").glob("part-*"):
+        file.write_bytes(b"no parquet")
+    for file in (tmp_path / "s" / "ends" / "batch=0").glob(".part-*"):
+        file.unlink()
+    with pytest.raises(Exception):
+        job.process(r.where("seq >= 30"), 1)
+    empty = tmp_path / "e"
+    (empty / "ends" / "batch=0").mkdir(parents=True)
+    with pytest.raises(Exception):
+        IncrementalFrames(spark, str(empty), 30).process(r, 1)
+
+
 def test_record_time(spark):
     row = tables.with_datetime(spark.createDataFrame([(1704067207,)], "timestamp long")).first()
     assert str(row.datetime) == "2024-01-01 00:00:07"
