@@ -83,14 +83,87 @@ def fastest_paths(spark, folder):
     return found.select("request_id", F.round("cost", 6).alias("cost"))
 
 
+def _as_text(paths):
+    return paths.withColumns({"cost": F.round("cost", 6), "path": F.array_join(F.transform("path", lambda n: n.cast("string")), ",")})
+
+
+@query(
+    "k_shortest_streets_g2_g3_o4",
+    i.sql_with(i.STREETS_SQL, """
+weights AS (SELECT node_from, node_to, length_m + (node_from * 7919 + node_to * 104729) % 999983 / 1048576.0::DOUBLE AS w FROM streets WHERE node_to > node_from),
+requests AS (SELECT CAST(s_suppkey AS BIGINT) AS request_id, CAST(s_suppkey AS BIGINT) AS origin, CAST(least(s_suppkey + 9, m - 1) AS BIGINT) AS dest FROM supplier, supplier_count),
+ways(request_id, dest, node, cost, path) AS (
+  SELECT request_id, dest, origin, 0.0::DOUBLE, [origin] FROM requests
+  UNION ALL
+  SELECT request_id, dest, e.node_to, cost + w, list_append(path, e.node_to) FROM ways JOIN weights e ON e.node_from = node WHERE node <> dest AND e.node_to <= dest),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cost, path) AS rank FROM ways WHERE node = dest)""")
+    + "SELECT request_id, CAST(rank AS INTEGER) AS rank, round(cost, 6) AS cost, array_to_string(path, ',') AS path FROM ranked WHERE rank <= 4",
+)
+def k_shortest_streets(spark, folder):
+    """Over the streets that lead to a larger node, where all paths can be enumerated."""
+    m = i.table(spark, folder, "supplier").count()
+    k = F.col("s_suppkey")
+    asked = i.table(spark, folder, "supplier").select(
+        k.cast("bigint").alias("request_id"), k.cast("bigint").alias("origin"), F.least(k + 9, F.lit(m - 1)).cast("bigint").alias("dest"))
+    onwards = i.streets(spark, folder).where("node_to > node_from")
+    # Fractions with a finite binary form: sums are exact, so engines agree on the order.
+    fraction = (F.col("node_from") * 7919 + F.col("node_to") * 104729) % 999983 / 1048576
+    edges = routing.weighted(onwards, F.col("length_m") + fraction)
+    return _as_text(routing.k_best_paths(edges, asked, 4))
+
+
 @query("k_shortest_paths_g2_g3_o4")
 def k_shortest_paths(spark, folder):
     return routing.k_best_paths(lengths(spark, folder), requests(spark, folder), 3)
 
 
-@query("plateau_paths_g4")
+# Both trees with the node before, maximal shared chains, and the routes through them.
+_PLATEAU_SQL = """
+ahead(request_id, node, cost, pred) USING KEY (request_id, node) AS (
+  SELECT request_id, origin, 0.0::DOUBLE, NULL::BIGINT FROM requests
+  UNION
+  SELECT d.request_id, e.node_to, min(d.cost + e.w), arg_min(d.node, (d.cost + e.w, d.node))
+  FROM ahead d JOIN weights e ON e.node_from = d.node
+  LEFT JOIN recurring.ahead r ON r.request_id = d.request_id AND r.node = e.node_to
+  WHERE d.cost + e.w < coalesce(r.cost, 'infinity'::DOUBLE) GROUP BY d.request_id, e.node_to),
+behind(request_id, node, cost, pred) USING KEY (request_id, node) AS (
+  SELECT request_id, dest, 0.0::DOUBLE, NULL::BIGINT FROM requests
+  UNION
+  SELECT d.request_id, e.node_from, min(d.cost + e.w), arg_min(d.node, (d.cost + e.w, d.node))
+  FROM behind d JOIN weights e ON e.node_to = d.node
+  LEFT JOIN recurring.behind r ON r.request_id = d.request_id AND r.node = e.node_from
+  WHERE d.cost + e.w < coalesce(r.cost, 'infinity'::DOUBLE) GROUP BY d.request_id, e.node_from),
+overlay AS (SELECT a.request_id, a.node, a.cost AS f, a.pred, b.cost AS b, b.pred AS next FROM ahead a JOIN behind b ON a.request_id = b.request_id AND a.node = b.node),
+shared AS (SELECT v.request_id, v.pred AS u, v.node AS v FROM overlay v JOIN overlay u ON u.request_id = v.request_id AND u.node = v.pred AND u.next = v.node),
+heads(request_id, node, head) AS (
+  SELECT request_id, u, u FROM shared WHERE (request_id, u) NOT IN (SELECT (request_id, v) FROM shared)
+  UNION ALL
+  SELECT h.request_id, s.v, h.head FROM heads h JOIN shared s ON s.request_id = h.request_id AND s.u = h.node),
+ends AS (SELECT * FROM heads WHERE node <> head AND (request_id, node) NOT IN (SELECT (request_id, u) FROM shared)),
+there(request_id, node, path) AS (
+  SELECT request_id, origin, [origin] FROM requests
+  UNION ALL
+  SELECT t.request_id, a.node, list_append(t.path, a.node) FROM there t JOIN ahead a ON a.request_id = t.request_id AND a.pred = t.node),
+onwards(request_id, node, path) AS (
+  SELECT request_id, dest, [dest] FROM requests
+  UNION ALL
+  SELECT t.request_id, a.node, list_prepend(a.node, t.path) FROM onwards t JOIN behind a ON a.request_id = t.request_id AND a.pred = t.node),
+found AS (
+  SELECT e.request_id, s.f + o.b AS off, o.f + o.b AS cost, list_concat(t.path, w.path[2:]) AS path
+  FROM ends e JOIN overlay o ON o.request_id = e.request_id AND o.node = e.node JOIN overlay s ON s.request_id = e.request_id AND s.node = e.head
+  JOIN there t ON t.request_id = e.request_id AND t.node = e.node JOIN onwards w ON w.request_id = e.request_id AND w.node = e.node),
+single AS (SELECT request_id, path, min(off) AS off, min(cost) AS cost FROM found WHERE len(list_distinct(path)) = len(path) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(off, 9), round(cost, 9), path) AS rank FROM single)
+"""
+
+
+@query(
+    "plateau_paths_g4",
+    i.sql_with(i.ROAD_SQL, WEIGHTS_SQL, REQUESTS_SQL, _PLATEAU_SQL)
+    + "SELECT request_id, CAST(rank AS INTEGER) AS rank, round(cost, 6) AS cost, array_to_string(path, ',') AS path FROM ranked WHERE rank <= 3",
+)
 def plateau_paths(spark, folder):
-    return routing.plateau_paths(lengths(spark, folder), requests(spark, folder), 3)
+    return _as_text(routing.plateau_paths(lengths(spark, folder), requests(spark, folder), 3))
 
 
 ROUTES_SQL = """

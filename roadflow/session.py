@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -47,6 +48,31 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; removed when the driver ends in order."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_folder(spark).rstrip('/')}/roadflow-{app}"
+        atexit.register(_remove_quietly, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+    except Exception:  # the session has gone already; whoever owns the folder clears it
+        pass
+
+
 def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -57,7 +83,7 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     earlier result of this function that is no longer needed and is removed.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/roadflow-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.roadflow_path = path
@@ -66,11 +92,15 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Remove the files of a table written by ``cut_lineage``."""
-    path = getattr(table, "roadflow_path", None)
-    if path is None:
-        return
-    spark = table.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables written by ``cut_lineage``."""
+    for table in tables:
+        path = getattr(table, "roadflow_path", None)
+        if path is not None:
+            _remove(table.sparkSession, path)
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema written by ``cut_lineage`` as one table, read in one scan."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[t.roadflow_path for t in tables])
