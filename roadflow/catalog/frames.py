@@ -287,7 +287,7 @@ def running_stats(spark, folder):
     "computation_by_frame_w9",
     """
     WITH steps AS (SELECT event_id AS step, epoch_us(ts) // 1000000 AS time_s, round(value * 100) / 100 AS d FROM events),
-    framed AS (SELECT CASE WHEN step = (SELECT max(step) FROM steps) THEN 473720
+    framed AS (SELECT CASE WHEN step = (SELECT max(step) FROM steps) THEN (SELECT max(CAST(round_even(time_s * 1000 / (1000.0 * 3600), 0) AS BIGINT)) FROM steps)
                  ELSE CAST(round_even(time_s * 1000 / (1000.0 * 3600), 0) AS BIGINT) END AS frame, d FROM steps),
     sums AS (SELECT frame, sum(sum(d)) OVER (ORDER BY frame) AS c FROM framed GROUP BY frame),
     dense AS (SELECT unnest(range(min(frame), max(frame) + 1)) AS frame FROM sums)
@@ -300,5 +300,6 @@ def computation_by_frame(spark, folder):
         F.expr(f"timestampdiff(SECOND, {i.EPOCH}, ts)").alias("time_s"),
         F.round("value", 2).alias("duration_ms"),
     )
-    out = filling.computation_by_frame(steps, 473720, 3600, 1)
+    last = steps.agg(F.max(F.bround(F.col("time_s") / 3600)).cast("bigint").alias("f")).first()["f"]
+    out = filling.computation_by_frame(steps, last, 3600, 1)
     return out.withColumn("computation_time_ms", F.round("computation_time_ms", 2))

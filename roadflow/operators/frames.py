@@ -161,11 +161,7 @@ def run_summary(records: DataFrame, rows: DataFrame, interval_s: int) -> DataFra
         F.max("seen").alias("max_unique_vehicles_in_time_segment"),
         F.max("on_segment").alias("max_unique_vehicles_on_segment"),
     )
-    one = F.lit(1).alias("__one")
-    return (
-        vehicles.withColumn("__one", one).join(widest.withColumn("__one", one), "__one").drop("__one")
-        .withColumn("interval_s", F.lit(interval_s))
-    )
+    return vehicles.select("*", *[widest.select(c).scalar().alias(c) for c in widest.columns], F.lit(interval_s).alias("interval_s"))
 
 
 def rows_of_frame(rows: DataFrame, frame_id: int) -> DataFrame:
