@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roadflow.catalog import inputs as i
 from roadflow.catalog.registry import query
 from roadflow.operators import filling, frames
+from roadflow.session import cut_lineage
 
 DAY = 86400
 
@@ -97,8 +98,9 @@ def added_stats(spark, folder):
     FROM per_frame JOIN stats USING (frame_id) WINDOW w AS (ORDER BY frame_id)""",
 )
 def frame_index(spark, folder):
-    stats = frames.added_stats(i.fcd(spark, folder, False), DAY)
-    return frames.frame_index(rows(spark, folder), stats)
+    # Rows and statistics read one prepared table, not the raw events.
+    records = cut_lineage(i.fcd(spark, folder))
+    return frames.frame_index(frames.frame_rows(records, DAY), frames.added_stats(records, DAY))
 
 
 @query(

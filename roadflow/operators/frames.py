@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import centred_frame, first_half
@@ -44,50 +45,36 @@ def assign_frames(records: DataFrame, interval_s: int) -> DataFrame:
     return records.withColumn("frame_id", centred_frame(F.col("timestamp"), interval_s))
 
 
-def first_sightings(framed: DataFrame) -> DataFrame:
-    """Where each vehicle shows up first in each frame."""
-    return framed.groupBy("frame_id", "vehicle_id").agg(
-        *[F.min_by(c, time_order()).alias(c) for c in ("node_from", "node_to", "in_first")]
-    )
-
-
 def frame_rows(records: DataFrame, interval_s: int) -> DataFrame:
     """Speed sums, counts and first-seen vehicles per half segment and frame.
 
-    The speed part and the first-seen part meet in one aggregate over their
-    union, so neither joins the other.
+    One pass: records are summed per vehicle and half segment first, so what is
+    shuffled next, to mark where a vehicle shows up first in a frame, is short.
     """
     framed = assign_frames(records, interval_s).withColumn(
-        "in_first", first_half(F.col("start_offset_m"), F.col("segment_length"))
-    )
-    first = F.col("in_first")
-    one, none = F.lit(1), F.lit(0)
-    speeds = framed.select(
-        *FRAME_KEY,
-        F.when(first, F.col("speed_mps")).alias("s1"), F.when(~first, F.col("speed_mps")).alias("s2"),
-        F.when(first, one).otherwise(none).alias("c1"), F.when(first, none).otherwise(one).alias("c2"),
-        none.alias("u1"), none.alias("u2"),
-        F.when(F.col("active"), none).otherwise(one).alias("f"),
+        "in_first", F.coalesce(first_half(F.col("start_offset_m"), F.col("segment_length")), F.lit(False))
     )
-    seen = first_sightings(framed).select(
-        *FRAME_KEY,
-        F.lit(None).cast("double").alias("s1"), F.lit(None).cast("double").alias("s2"),
-        none.alias("c1"), none.alias("c2"),
-        F.when(first, one).otherwise(none).alias("u1"), F.when(first, none).otherwise(one).alias("u2"),
-        none.alias("f"),
+    visits = framed.groupBy("frame_id", "vehicle_id", "node_from", "node_to", "in_first").agg(
+        F.sum("speed_mps").alias("s"), F.count(F.lit(1)).alias("c"), F.count_if(~F.col("active")).alias("f"), F.min(time_order()).alias("o")
     )
+    in_order = W.partitionBy("frame_id", "vehicle_id").orderBy("o")
+    first = F.col("in_first")
 
-    def total(c):
-        return F.coalesce(F.sum(c), F.lit(0.0))
-
-    return speeds.unionByName(seen).groupBy(*FRAME_KEY).agg(
-        total("s1").alias("speed_sum_first"),
-        F.sum("c1").cast("int").alias("speed_count_first"),
-        F.sum("u1").cast("int").alias("count_unique_first"),
-        total("s2").alias("speed_sum_second"),
-        F.sum("c2").cast("int").alias("speed_count_second"),
-        F.sum("u2").cast("int").alias("count_unique_second"),
-        F.sum("f").cast("int").alias("vehicles_finished"),
+    def half(condition, value: str):
+        return F.sum(F.when(condition, F.col(value)))
+
+    return (
+        visits.withColumn("u", F.when(F.row_number().over(in_order) == 1, 1).otherwise(0))
+        .groupBy(*FRAME_KEY)
+        .agg(
+            F.coalesce(half(first, "s"), F.lit(0.0)).alias("speed_sum_first"),
+            F.coalesce(half(first, "c"), F.lit(0)).cast("int").alias("speed_count_first"),
+            F.coalesce(half(first, "u"), F.lit(0)).cast("int").alias("count_unique_first"),
+            F.coalesce(half(~first, "s"), F.lit(0.0)).alias("speed_sum_second"),
+            F.coalesce(half(~first, "c"), F.lit(0)).cast("int").alias("speed_count_second"),
+            F.coalesce(half(~first, "u"), F.lit(0)).cast("int").alias("count_unique_second"),
+            F.sum("f").cast("int").alias("vehicles_finished"),
+        )
     )
 
 
