@@ -40,16 +40,17 @@ LOG = i.sql_with(i.FCD_SQL, LOG_SQL)
 
 
 def log_input(spark, folder):
-    return filling.prepare(i.fcd(spark, folder), 1, 1)
+    """Prepared rows as a table: the clock, the rows and the behaviours are then read from it, not from the events."""
+    return cut_lineage(filling.prepare(i.fcd(spark, folder), 1, 1))
 
 
 def facts(spark, folder, key):
     return reports.interval_facts(reports.interval_rows(log_input(spark, folder), DAY), key)
 
 
-def behaviours(spark, folder):
+def behaviours(rows):
     """Routing behaviour per vehicle, by a rule on the vehicle number."""
-    seen = i.fcd(spark, folder, False).select("vehicle_id").distinct()
+    seen = rows.select("vehicle_id").distinct()
     v = F.col("vehicle_id")
 
     def by(names, n):
@@ -99,8 +100,9 @@ _LOG_CTES = """
     FROM inside JOIN total USING (k) JOIN modes USING (k)""",
 )
 def interval_log(spark, folder):
-    by_vehicle, by_segment = reports.both_facts(reports.interval_rows(log_input(spark, folder), DAY))
-    out = reports.interval_log(by_vehicle, by_segment, DAY, behaviours(spark, folder))
+    prepared = log_input(spark, folder)
+    by_vehicle, by_segment = reports.both_facts(reports.interval_rows(prepared, DAY))
+    out = reports.interval_log(by_vehicle, by_segment, DAY, behaviours(prepared))
     return out.withColumns(
         {c: F.round(c, 6) for c in ("average_speed_kph", "average_speed_kph_since_start")}
     )
@@ -164,7 +166,8 @@ def _comparison_sql():
 
 @query("comparison_table_s28_c6", _comparison_sql())
 def comparison_table(spark, folder):
-    return reports.comparison_table(log_input(spark, folder), DAY, behaviours(spark, folder))
+    prepared = log_input(spark, folder)
+    return reports.comparison_table(prepared, DAY, behaviours(prepared))
 
 
 @query(
