@@ -18,9 +18,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     table.  Nodes without a link to another node are their own component; an
     empty table has none.
     """
-    both = links.where("a IS NOT NULL AND b IS NOT NULL")
-    alone = both.where("a = b").select(F.col("a").alias("node")).distinct()
-    stars = cut_lineage(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    both = links.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    both = cut_lineage(both.distinct())  # used twice below
+    alone = both.where("a = b").select(F.col("a").alias("node"))
+    stars = both.where("a <> b")
     known = _fingerprint(stars)
     while True:
         around = stars.union(stars.select("b", "a"))

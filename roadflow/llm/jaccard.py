@@ -44,7 +44,7 @@ _HASH_BITS = 48
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 18:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -161,7 +161,7 @@ def _batch_name(ids: np.ndarray, known: np.ndarray, packed: np.ndarray) -> int:
     return content.intdigest() >> 1
 
 
-def shared_shingles(docs: DataFrame, width: int, numerator: int, denominator: int, batch_words: int = 1 << 21, many: int = 256) -> DataFrame:
+def shared_shingles(docs: DataFrame, width: int, numerator: int, denominator: int, batch_words: int = 1 << 20, many: int = 256) -> DataFrame:
     """``(doc_id, n_shingles, stands, n_shared, shared)`` per document.
 
     ``shared`` holds the shingles that other documents have too, rarest first, as
