@@ -72,7 +72,7 @@ def _distance_key(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Col
     return a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4, compare: int = 8) -> DataFrame:
     """Nearest node of each point by great-circle distance, ties to the smaller id.
 
     ``points(point_id, lon, lat)``, ``nodes(node_id, lon, lat)``; boxes do not
@@ -81,9 +81,9 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4) -> DataFram
     The search descends a grid tree of the nodes.  Per place it keeps the
     non-empty cells that may hold the nearest node: a cell goes when the nearest
     edge of its bounding box lies beyond the farthest corner of another kept
-    cell.  A crowded cell splits instead of being compared node by node.  Cells
-    below 1e-13 degrees, where coordinates run out of digits, are compared node
-    by node; so nodes may lie as close as they like.
+    cell.  A cell of more than ``compare`` nodes splits instead of being compared
+    node by node.  Cells below 1e-13 degrees, where coordinates run out of
+    digits, are compared node by node; so nodes may lie as close as they like.
     """
     unique = nodes.groupBy("lon", "lat").agg(F.min("node_id").alias("node_id"))
 
@@ -129,24 +129,30 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, fan: int = 4) -> DataFram
     roots = places.withColumn("cx", F.explode(cells_between(extent[0], extent[1]))).withColumn(
         "cy", F.explode(cells_between(extent[2], extent[3]))
     )
-    state = prune(roots.join(boxes(start), ["cx", "cy"]))
     finest = max(start, math.ceil(math.log(360.0 / 1e-13, fan)))
     level = start
-    while level < finest:
-        crowded = state.where("n > 1")
-        if crowded.isEmpty():
+
+    def opened(cells: DataFrame) -> DataFrame:
+        """The nodes of cells of the current level, each as a cell of its own."""
+        inside = unique.select(*_cell(F.col("lon"), F.col("lat"), 360.0 / fan**level), "lon", "lat", "node_id")
+        return cells.select("x", "y", "cx", "cy").join(inside, ["cx", "cy"]).select(
+            "x", "y", "cx", "cy", F.col("lon").alias("x0"), F.col("lon").alias("x1"), F.col("lat").alias("y0"), F.col("lat").alias("y1"),
+            F.lit(1).cast("bigint").alias("n"), "node_id",
+        )
+
+    columns = ["x", "y", "cx", "cy", "x0", "x1", "y0", "y1", "n", "node_id"]
+    state = prune(roots.join(boxes(start), ["cx", "cy"]).select(*columns))
+    while True:
+        crowded = state.where(F.col("n") > compare)
+        if level == finest or crowded.isEmpty():
+            state = state.where("n = 1").unionByName(opened(state.where("n > 1")))
             break
+        settled = state.where("n = 1").unionByName(opened(state.where((F.col("n") > 1) & (F.col("n") <= compare))))
         level += 1
         child = boxes(level).withColumns({"px": F.floor(F.col("cx") / fan), "py": F.floor(F.col("cy") / fan)})
         split = crowded.select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")).join(child, ["px", "py"])
-        state = prune(split.drop("px", "py").unionByName(state.where("n = 1")), state)
-    single = state.where("n = 1").select("x", "y", F.col("x0").alias("lon"), F.col("y0").alias("lat"), "node_id")
-    crowd = state.where("n > 1").select("x", "y", "cx", "cy").join(
-        unique.select(*_cell(F.col("lon"), F.col("lat"), 360.0 / fan**level), "lon", "lat", "node_id"), ["cx", "cy"]
-    )
-    scored = single.unionByName(crowd.drop("cx", "cy")).select(
-        "x", "y", "node_id", _distance_key(x, y, F.col("lon"), F.col("lat")).alias("d")
-    )
+        state = prune(split.select(*columns).unionByName(settled), state)
+    scored = state.select("x", "y", "node_id", _distance_key(x, y, F.col("x0"), F.col("y0")).alias("d"))
     best = scored.groupBy("x", "y").agg(F.min(F.struct("d", "node_id")).alias("b")).select(
         x.alias("lon"), y.alias("lat"), F.col("b.node_id").alias("node_id")
     )
