@@ -11,7 +11,7 @@ can have a match at all:
    all documents.
 3. What is left is cut into cells by the rarest shingles: a match has one of the
    few rarest shingles of each side in common, so matches never cross cells.
-   Cells are packed into bins, large cells into several that meet in pairs.
+   Cells are packed into bins; large ones are cut into blocks (``cells``).
 4. Each bin is searched by T-occurrence (``overlap.OccurrenceIndex``).  A pair
    that earlier links already connect isn't looked at again, so a group of many
    near copies costs about one comparison a member, not one a pair.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadflow.llm.cells import deal_cells
+from roadflow.llm.cells import spanning_links
 from roadflow.llm.components import connected_components
 from roadflow.llm.overlap import Groups, OccurrenceIndex
 from roadflow.session import cut_lineage
@@ -297,8 +297,6 @@ def search_bins(sets: DataFrame, cells: DataFrame, numerator: int, denominator:
     """Links ``(a, b)`` that span every group of matching documents."""
     rows = sets.where("shared IS NOT NULL").select("doc_id", "n_shingles", "n_shared", "shared")
     placed = cut_lineage(rows.join(cells.withColumnRenamed("node", "doc_id"), "doc_id"))
-    dealt = deal_cells(placed, "doc_id", "n_shared", bin_shingles, ["doc_id", "n_shingles", "shared"])
-
     def search(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("doc_id").to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
@@ -307,7 +305,7 @@ def search_bins(sets: DataFrame, cells: DataFrame, numerator: int, denominator:
         block = np.array(group.column("block").to_pylist(), np.int64)[order]
         packed = group.column("shared")
         sets_ = [np.frombuffer(packed[k].as_py(), np.uint64) for k in order.tolist()]
-        two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        asks = None if group.column("asks")[0].as_py() is None else np.array(group.column("asks").to_pylist(), bool)[order]
         index = OccurrenceIndex(sets_, size)
         joined = Groups(len(ids))
         # Documents of common shingles first: the middle of a group of near copies connects most of it at once.
@@ -317,6 +315,8 @@ def search_bins(sets: DataFrame, cells: DataFrame, numerator: int, denominator:
         by_size = np.argsort(size, kind="stable")
         sorted_size = size[by_size]
         for query in np.argsort(-weight, kind="stable").tolist():
+            if asks is not None and not asks[query]:
+                continue
             done[query] = True
             n = int(size[query])
             low = np.searchsorted(sorted_size, -(-numerator * n // denominator))
@@ -324,8 +324,8 @@ def search_bins(sets: DataFrame, cells: DataFrame, numerator: int, denominator:
             near = by_size[low:high]
             roots = joined.roots()
             near = near[~done[near] & (roots[near] != roots[query])]
-            if two:
-                near = near[block[near] != block[query]]
+            if asks is not None:
+                near = near[~asks[near] & (block[near] != block[query])]
             if not len(near):
                 continue
             allowed = np.zeros(len(ids), bool)
@@ -339,7 +339,7 @@ def search_bins(sets: DataFrame, cells: DataFrame, numerator: int, denominator:
                     b.append(int(ids[match]))
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _LINKS.names)
 
-    return dealt.groupBy("place", "i", "j").applyInArrow(search, _LINKS)
+    return spanning_links(placed, "doc_id", "n_shared", bin_shingles, ["doc_id", "n_shingles", "shared"], search, _LINKS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, numerator: int = 85, denominator: int = 100) -> DataFrame:
