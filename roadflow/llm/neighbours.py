@@ -195,10 +195,10 @@ def nearest(
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     merged = merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     # A query's own class is found by definition, at the cosine of a vector with itself.
-    own = classes.where("asked").select(F.col("rep").alias("query"), "rep", F.lit(1.0).alias("score"))
+    own = comparable.where("asked").select(F.col("rep").alias("query"), "rep", F.lit(1.0).alias("score"))
     offered = merged.unionByName(own).join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").join(
-        classes.where("asked").select("vector", F.col("rep").alias("query")), "vector").select("query_id", "query")
+        comparable.where("asked").select("vector", F.col("rep").alias("query")), "vector").select("query_id", "query")
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(offered, "query").where("vec_id <> query_id")

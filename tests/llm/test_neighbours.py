@@ -17,7 +17,8 @@ def test_hilbert_curve_is_continuous():
 
 
 def _plain(rows, every, k=5):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    length = len(rows[0][1])
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == length and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, v in good:
         if i % every == 0:
@@ -38,6 +39,7 @@ def test_small_table_is_searched_whole(spark):
     rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(60)]
     rows += [(100 + k, rows[3][1]) for k in range(9)]  # ties
     rows += [(200, None), (205, [0.0] * 6), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (215, [float("nan")] * 6), (220, [float("inf")] + [1.0] * 5), (None, rows[0][1])]
+    rows += [(225, [1.0, 2.0]), (230, [1.0, 2.0])]  # of another length
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got, want = _found(table, 5), _plain(rows, 5)
     assert set(got) == set(want)
