@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
+from roadflow.session import cut_lineage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -170,8 +171,9 @@ def op6_line_dedup(spark, folder):
 @query("op5_scoring")
 def op5_scoring(spark, folder):
     docs = table(spark, folder, "documents")
-    words = scoring.vocabulary(docs)
-    return scoring.score(docs, words, scoring.train(docs, words), keep_columns=["doc_id"])
+    counts = cut_lineage(scoring.word_counts(docs))
+    words = scoring.vocabulary(docs, counts=counts)
+    return scoring.score(docs, words, scoring.train(docs, words), keep_columns=["doc_id"], counts=counts)
 
 
 __all__ = ["QUERIES", "SQL"]

@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadflow.session import cut_lineage
+
 #: Words are numbered below GROUPS * GROUPS; 0 stands beyond a text's ends, the next ones for all other words by a hash.
 GROUPS = 32
 WORDS = GROUPS * GROUPS
@@ -133,16 +136,23 @@ class Trainer:
             p["near"][k][touched] -= self.rate * gradient / np.sqrt(squares[touched])
 
 
-def _streams(source: Iterator[pa.RecordBatch], column: int, numbers: WordNumbers, words: int = 1 << 18):
-    """``(batch, first row, lengths, stream, places)``: texts of a few rows as one stream with room beyond each end."""
+def _streams(source: Iterator[pa.RecordBatch], column: int, numbers: WordNumbers, words: int = 1 << 18, others: list | None = None):
+    """``(batch, first row, lengths, stream, places)``: texts of a few rows as one stream with room beyond each end.
+
+    ``others`` is filled with the words without a number of their own, in the order of their places.
+    """
     for batch in source:
         texts = batch.column(column).cast(pa.binary())
         row = 0
         while row < batch.num_rows:
             begin, total, parts, lengths = row, 0, [np.zeros(REACH, np.int64)], []
+            if others is not None:
+                others.clear()
             while row < batch.num_rows and (row == begin or total < words):
                 found = words_of(texts[row].as_py() or b"")
                 parts += [np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)), np.zeros(REACH, np.int64)]
+                if others is not None:
+                    others += map(found.__getitem__, np.flatnonzero(parts[-2] <= OTHERS).tolist())
                 lengths.append(len(found))
                 total += len(found)
                 row += 1
@@ -153,8 +163,8 @@ def _streams(source: Iterator[pa.RecordBatch], column: int, numbers: WordNumbers
             yield batch, begin, length, stream, places
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[bytes]:
-    """The most frequent words of all documents, counted in Spark; ties go to the smaller word."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, n)`` of every word of all documents."""
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -163,7 +173,12 @@ def vocabulary(docs: DataFrame, text: str = "text") -> list[bytes]:
                 found.update(words_of(value.as_py() or b""))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> list[bytes]:
+    """The most frequent words of all documents, counted in Spark; ties go to the smaller word."""
+    counts = word_counts(docs, text) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - 1 - OTHERS)
     return [bytes(r["word"]) for r in top.collect()]
 
@@ -221,30 +236,106 @@ def train(docs: DataFrame, words: list[bytes], text: str = "text", rounds: int =
     return unpacked(flat)
 
 
-def score(docs: DataFrame, words: list[bytes], parameters: Parameters, text: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
+def _log_in_class(word: Column, n: Column, totals: list[int]) -> Column:
+    """log P(word | its class): counts, with one occurrence more for all words of any bytes together.
+
+    That one is spread by 257 ** -(bytes + 1), which sums to at most 1, so a word
+    never counted has a probability too.
+    """
+    total = F.element_at(F.array(*[F.lit(float(x + 1)) for x in totals]), (F.crc32(word) % OTHERS).cast("int") + 1)
+    spread = (F.octet_length(word) + 1) * F.lit(-float(np.log(257)))
+    return F.when(n > 0, F.log(n + F.exp(spread))).otherwise(spread) - F.log(total)
+
+
+def class_totals(counts: DataFrame, words: list[bytes]) -> list[int]:
+    """Occurrences of the words of each class, which are all but ``words``."""
+    known = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words[: WORDS - 1 - OTHERS]], "word binary")
+    rows = counts.join(known, "word", "left_anti").groupBy((F.crc32("word") % OTHERS).cast("int").alias("k")).agg(F.sum("n").alias("n")).collect()
+    found = {r["k"]: r["n"] for r in rows}
+    return [found.get(k, 0) for k in range(OTHERS)]
+
+
+_IN_CLASS = T.StructType([T.StructField("__chunk", T.LongType()), T.StructField("__at", T.IntegerType()), T.StructField("__more", T.DoubleType())])
+
+
+def _in_class(group: pa.Table) -> pa.Table:
+    """Sums of the shares of the words of each row of a chunk; added by size, so the order of arrival does not matter."""
+    share, rows = group.column("share").to_numpy(), group.column("rows").to_pylist()
+    at = np.frombuffer(b"".join(rows), np.int32)
+    each = np.repeat(share, [len(r) // 4 for r in rows])
+    order = np.argsort(each)
+    total = np.bincount(at[order], each[order])
+    found = np.unique(at)
+    chunk = group.column("__chunk")[0].as_py()
+    return pa.Table.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(total[found])], _IN_CLASS.names)
+
+
+def _where_found(others: list[bytes], row: np.ndarray, n_rows: int) -> pa.Array:
+    """The different words with the rows of their places as int32 values, all in the list of the first of ``n_rows`` rows."""
+    coded = pa.array(others, pa.binary()).dictionary_encode()
+    code = coded.indices.to_numpy()
+    rows = row[np.argsort(code, kind="stable")].astype(np.int32)
+    offsets = np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))).astype(np.int32) * np.int32(4)
+    rows = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+    bounds = np.full(n_rows + 1, len(offsets) - 1, np.int32)
+    bounds[0] = 0
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([coded.dictionary, rows], ["word", "rows"]))
+
+
+def score(
+    docs: DataFrame, words: list[bytes], parameters: Parameters, text: str = "text", keep_columns: list[str] | None = None, counts: DataFrame | None = None,
+) -> DataFrame:
     """Add ``n_scored``, ``log_prob`` and ``mean_log_prob`` to each document.
 
     ``log_prob`` is the sum over all words of log P(word | the two words on each
     side), for the whole text.  A text without words, or a null one, has 0 and a
     null mean.  Columns of these names are replaced.
+
+    The network tells ``words`` from each other and puts any other word in a
+    class.  With ``counts``, the table of all words, log P(word | class) is added
+    for these; without it, they count with the probability of the class alone.
+    The words meet the table in a join: each few rows send their different words.
     """
     names = ["n_scored", "log_prob", "mean_log_prob"]
     columns = [c for c in docs.columns if c not in names and (keep_columns is None or c in keep_columns)]
     shared = docs.sparkSession.sparkContext.broadcast((words, packed(parameters)))
+    full = counts is not None
+    extra = ["__chunk", "__at", "__others"] if full else []
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shared.value
         numbers, p = WordNumbers(known), unpacked(flat)
-        for batch, begin, length, stream, places in _streams(source, 0, numbers):
-            parts = [log_likelihoods(p, stream, places[at : at + 8192]) for at in range(0, len(places), 8192)]
+        others: list[bytes] | None = [] if full else None
+        chunk = TaskContext.get().partitionId() << 32
+        for batch, begin, length, stream, places in _streams(source, 0, numbers, 1 << 17 if full else 1 << 18, others):
+            parts = [log_likelihoods(p, stream, places[at : at + 2048]) for at in range(0, len(places), 2048)]
             each = np.concatenate(parts) if parts else np.zeros(0)
-            total = np.bincount(np.repeat(np.arange(len(length)), length), each, len(length))
+            row = np.repeat(np.arange(len(length)), length)
+            total = np.bincount(row, each, len(length))
             kept = batch.slice(begin, len(length))
             mean = pa.array(total / np.maximum(length, 1), pa.float64(), mask=length == 0)
+            more = []
+            if full:
+                found = _where_found(others, row[stream[places] <= OTHERS], len(length))
+                more = [pa.array(np.full(len(length), chunk)), pa.array(np.arange(len(length), dtype=np.int32)), found]
+                chunk += 1
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns[1:], pa.array(length), pa.array(total, pa.float64()), mean], [*columns, *names])
+                [*kept.columns[1:], pa.array(length), pa.array(total, pa.float64()), mean, *more], [*columns, *names, *extra])
 
     schema = T.StructType([
         *docs.select(*columns).schema.fields, T.StructField("n_scored", T.LongType()),
         T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
-    return docs.select(F.col(text).alias("__text"), *columns).mapInArrow(run, schema)
+    whole = T.StructType(schema.fields + [
+        T.StructField("__chunk", T.LongType()), T.StructField("__at", T.IntegerType()),
+        T.StructField("__others", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("rows", T.BinaryType())])))])
+    out = docs.select(F.col(text).alias("__text"), *columns).mapInArrow(run, whole if full else schema)
+    if not full:
+        return out
+    out = cut_lineage(out)
+    totals = class_totals(counts, words)
+    sent = out.where(F.size("__others") > 0).select("__chunk", F.inline("__others"))
+    met = sent.join(counts, "word", "left").select("__chunk", "rows", _log_in_class(F.col("word"), F.coalesce("n", F.lit(0)), totals).alias("share"))
+    more = met.groupBy("__chunk").applyInArrow(_in_class, _IN_CLASS)
+    log_prob = F.col("log_prob") + F.coalesce("__more", F.lit(0.0))
+    return out.drop("__others").join(more, ["__chunk", "__at"], "left").select(
+        *columns, "n_scored", log_prob.alias("log_prob"), F.when(F.col("n_scored") > 0, log_prob / F.col("n_scored")).alias("mean_log_prob"))

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from brute import greedy_pieces
@@ -111,3 +113,44 @@ def test_score_is_the_sum_over_places(spark, documents):
     want = float(scoring.log_likelihoods(p, stream, np.arange(2, 7)).sum())
     row = scoring.score(documents([(1, "a b zz A b")]), words, p).first()
     assert abs(row["log_prob"] - want) < 1e-4
+
+
+def test_every_word_has_its_own_probability(spark, documents):
+    rng = random.Random(7)
+    frequent = [f"f{k}" for k in range(scoring.WORDS)]
+    rows = [(k, " ".join(frequent * 2)) for k in range(2)] + [(9, None), (10, "")]
+    rows += [(100 + k, " ".join(rng.choices([f"r{j}" for j in range(60)], k=30))) for k in range(20)]
+    docs = documents(rows).repartition(3).cache()
+    counts = scoring.word_counts(docs).cache()
+    words, p = scoring.vocabulary(docs, counts=counts), scoring.initial(1)
+    assert words == scoring.vocabulary(docs)
+    every = Counter(w for _, t in rows for w in (t or "").encode().split())
+    number = scoring.WordNumbers(words)
+    rare = {w: n for w, n in every.items() if w not in set(words)}
+    totals = Counter()
+    for w, n in rare.items():
+        totals[number[w]] += n
+
+    def more(text):
+        out = 0.0
+        for w in (text or "").lower().encode().split():
+            if w not in set(words):
+                out += math.log((every[w] + 257.0 ** -(len(w) + 1)) / (totals[number[w]] + 1))
+        return out
+
+    asked = rows + [(200, "R1 never-seen r2 r2"), (None, "r3 f1"), (None, "r4"), (100, "r5 r5")]
+    table = documents(asked).repartition(4)
+    plain = sorted((str(r[0]), r[1], r[2]) for r in scoring.score(table, words, p, keep_columns=["doc_id"]).collect())
+    whole = scoring.score(table, words, p, keep_columns=["doc_id"], counts=counts)
+    assert whole.columns == ["doc_id", "n_scored", "log_prob", "mean_log_prob"]
+    got = sorted((str(r[0]), r[1], r[2], r[3]) for r in whole.collect())
+    want = Counter((str(k), len((t or "").split()), round(more(t), 6)) for k, t in asked)
+    base = {(k, n): v for k, n, v in plain if (k, n) != ("None", 1)}
+    assert len(got) == len(asked) and len(rare) > 60
+    for key, n, value, mean in got:
+        assert mean == (value / n if n else None)
+        if (key, n) in base:
+            assert min(abs(value - base[key, n] - m) for (a, b, m) in want if (a, b) == (key, n)) < 1e-4
+    # A word that occurs once scores lower than a frequent one of its class.
+    assert more("never-seen") < more("r1")
+    assert scoring.score(documents([]), words, p, counts=counts).count() == 0
