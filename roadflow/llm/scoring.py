@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,7 +149,7 @@ def _streams(source: Iterator[pa.RecordBatch], column: int, numbers: WordNumbers
             begin, total, parts, lengths = row, 0, [np.zeros(REACH, np.int64)], []
             if others is not None:
                 others.clear()
-            while row < batch.num_rows and (row == begin or total < words):
+            while row < batch.num_rows and (row == begin or total < words) and row - begin < 1 << 16:
                 found = words_of(texts[row].as_py() or b"")
                 parts += [np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)), np.zeros(REACH, np.int64)]
                 if others is not None:
@@ -198,14 +199,22 @@ def _averaged(group: pa.Table) -> pa.Table:
         pa.schema([("slice", pa.int32()), ("task", pa.int64()), ("weight", pa.float64()), ("values", pa.binary())]))
 
 
-def train(docs: DataFrame, words: list[bytes], text: str = "text", rounds: int = 2, stride: int = 8, batch_words: int = 2048, slices: int = 16) -> Parameters:
+def targets(length: np.ndarray, turn: int, rounds: int = 2, stride: int | None = None) -> np.ndarray:
+    """Which words of texts of these lengths, one text after the other, are targets in a round; other texts don't matter."""
+    stride = rounds if stride is None else stride
+    within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return np.flatnonzero((within - turn * stride // rounds) % stride == 0)
+
+
+def train(docs: DataFrame, words: list[bytes], text: str = "text", rounds: int = 2, stride: int | None = None, batch_words: int = 2048, slices: int = 16) -> Parameters:
     """Fit the network on the words of all documents.
 
     In each round every task starts from the same parameters, steps through the
     texts it scans and hands its parameters back in slices; Spark averages them,
     weighted by the words seen, in two levels, so the driver gets one copy.  A
-    round takes every ``stride``-th word as target, another one each round, with
-    all words as context.
+    round takes every ``stride``-th word of a text as target, another one each
+    round, with all words as context.  With ``stride`` left out it is ``rounds``,
+    and every word is a target once.
     """
     spark = docs.sparkSession
     flat = packed(initial())
@@ -216,9 +225,9 @@ def train(docs: DataFrame, words: list[bytes], text: str = "text", rounds: int =
             known, first = start.value
             numbers, trainer = WordNumbers(known), Trainer(unpacked(first))
             seen, mark = 0, 0
-            for _, _, _, stream, places in _streams(source, 0, numbers):
+            for _, _, length, stream, places in _streams(source, 0, numbers):
                 mark = zlib.crc32(stream.tobytes(), mark)
-                chosen = places[(seen + turn * stride // rounds) % stride :: stride]
+                chosen = places[targets(length, turn, rounds, stride)]
                 for at in range(0, len(chosen), batch_words):
                     trainer.step(stream, chosen[at : at + batch_words])
                 seen += len(places)
@@ -236,17 +245,6 @@ def train(docs: DataFrame, words: list[bytes], text: str = "text", rounds: int =
     return unpacked(flat)
 
 
-def _log_in_class(word: Column, n: Column, totals: list[int]) -> Column:
-    """log P(word | its class): counts, with one occurrence more for all words of any bytes together.
-
-    That one is spread by 257 ** -(bytes + 1), which sums to at most 1, so a word
-    never counted has a probability too.
-    """
-    total = F.element_at(F.array(*[F.lit(float(x + 1)) for x in totals]), (F.crc32(word) % OTHERS).cast("int") + 1)
-    spread = (F.octet_length(word) + 1) * F.lit(-float(np.log(257)))
-    return F.when(n > 0, F.log(n + F.exp(spread))).otherwise(spread) - F.log(total)
-
-
 def class_totals(counts: DataFrame, words: list[bytes]) -> list[int]:
     """Occurrences of the words of each class, which are all but ``words``."""
     known = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words[: WORDS - 1 - OTHERS]], "word binary")
@@ -255,31 +253,113 @@ def class_totals(counts: DataFrame, words: list[bytes]) -> list[int]:
     return [found.get(k, 0) for k in range(OTHERS)]
 
 
-_IN_CLASS = T.StructType([T.StructField("__chunk", T.LongType()), T.StructField("__at", T.IntegerType()), T.StructField("__more", T.DoubleType())])
+#: log P(word | class) = log((n + 257 ** -(bytes + 1)) / (occurrences of the class + 1)): counts, with one occurrence more
+#: for all words of any bytes together, so a word never counted has a probability too.
+_BYTE = float(np.log(257))
+
+_FOUND = T.StructType([
+    T.StructField("range", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
+    T.StructField("values", T.BinaryType())])
+_PARTS = T.StructType([
+    T.StructField("__chunk", T.LongType()), T.StructField("range", T.IntegerType()), T.StructField("rows", T.BinaryType()),
+    T.StructField("sums", T.BinaryType())])
+_MORE = T.StructType([T.StructField("__chunk", T.LongType()), T.StructField("__at", T.IntegerType()), T.StructField("__more", T.DoubleType())])
 
 
-def _in_class(group: pa.Table) -> pa.Table:
-    """Sums of the shares of the words of each row of a chunk; added by size, so the order of arrival does not matter."""
-    share, rows = group.column("share").to_numpy(), group.column("rows").to_pylist()
-    at = np.frombuffer(b"".join(rows), np.int32)
-    each = np.repeat(share, [len(r) // 4 for r in rows])
-    order = np.argsort(each)
-    total = np.bincount(at[order], each[order])
-    found = np.unique(at)
-    chunk = group.column("__chunk")[0].as_py()
-    return pa.Table.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(total[found])], _IN_CLASS.names)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _where_found(others: list[bytes], row: np.ndarray, n_rows: int) -> pa.Array:
-    """The different words with the rows of their places as int32 values, all in the list of the first of ``n_rows`` rows."""
+def _in_ranges(hashes: np.ndarray, bits: int) -> tuple[list[int], np.ndarray]:
+    """The ranges with some of the sorted ``hashes``, and the bounds of all ranges."""
+    inner = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    bound = np.concatenate([[0], inner, [len(hashes)]])
+    return np.flatnonzero(np.diff(bound)).tolist(), bound
+
+
+def _where_found(others: list[bytes], row: np.ndarray, n_rows: int, bits: int) -> pa.Array:
+    """The different words by hash, range by range, with the rows of their places, in the list of the first of ``n_rows`` rows."""
     coded = pa.array(others, pa.binary()).dictionary_encode()
-    code = coded.indices.to_numpy()
-    rows = row[np.argsort(code, kind="stable")].astype(np.int32)
-    offsets = np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))).astype(np.int32) * np.int32(4)
-    rows = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
-    bounds = np.full(n_rows + 1, len(offsets) - 1, np.int32)
+    hashes = _hashes(coded.dictionary.to_pylist())
+    order = np.argsort(hashes)
+    hashes, rank = hashes[order], np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[coded.indices.to_numpy()]
+    row = row[np.argsort(code, kind="stable")].astype(np.uint16)
+    sizes = np.bincount(code, minlength=len(hashes)).astype(np.int32)
+    place = np.append(0, np.cumsum(sizes))
+    filled, bound = _in_ranges(hashes, bits)
+    found = [(k, slice(bound[k], bound[k + 1]), slice(place[bound[k]], place[bound[k + 1]])) for k in filled]
+    parts = pa.StructArray.from_arrays([
+        pa.array(filled, pa.int32()), pa.array([hashes[x].tobytes() for _, x, _ in found], pa.binary()),
+        pa.array([sizes[x].tobytes() for _, x, _ in found], pa.binary()),
+        pa.array([row[y].tobytes() for _, _, y in found], pa.binary())], _FOUND.names)
+    bounds = np.full(n_rows + 1, len(filled), np.int32)
     bounds[0] = 0
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([coded.dictionary, rows], ["word", "rows"]))
+    return pa.ListArray.from_arrays(pa.array(bounds), parts)
+
+
+def _count_ranges(counts: DataFrame, bits: int) -> DataFrame:
+    """What each counted word has more than one never counted, as a logarithm, by ranges of hashes."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(words: list[bytes], n: list[int]) -> pa.RecordBatch:
+            spread = -_BYTE * (1 + np.fromiter(map(len, words), np.int64, len(words)))
+            value = np.log(np.array(n, np.float64) + np.exp(spread)) - spread
+            hashes = _hashes(words)
+            order = np.argsort(hashes)
+            hashes, value = hashes[order], value[order]
+            filled, bound = _in_ranges(hashes, bits)
+            cut = [slice(bound[k], bound[k + 1]) for k in filled]
+            return pa.RecordBatch.from_arrays([
+                pa.array(filled, pa.int32()), pa.array([hashes[x].tobytes() for x in cut], pa.binary()), pa.nulls(len(filled), pa.binary()),
+                pa.array([value[x].tobytes() for x in cut], pa.binary())], _FOUND.names)
+
+        words, n = [], []
+        for batch in source:
+            words += batch.column(0).to_pylist()
+            n += batch.column(1).to_pylist()
+            if len(words) >= 1 << 18:
+                yield put(words, n)
+                words, n = [], []
+        if words:
+            yield put(words, n)
+
+    return counts.select("word", "n").mapInArrow(run, _FOUND)
+
+
+def _looked_up(group: pa.Table) -> pa.Table:
+    """For each chunk of rows the sums over its words of a range."""
+    chunks, hashes, sizes, values = (group.column(x).to_pylist() for x in ("__chunk", "hashes", "sizes", "values"))
+    table = [k for k, chunk in enumerate(chunks) if chunk is None]
+    known = np.concatenate([np.frombuffer(hashes[k], np.uint64) for k in table] or [np.zeros(0, np.uint64)])
+    value = np.concatenate([np.frombuffer(values[k], np.float64) for k in table] or [np.zeros(0)])
+    order = np.argsort(known)
+    # The last entry answers hashes behind all others.
+    known, value = np.append(known[order], np.uint64(0)), np.append(value[order], 0.0)
+    out = []
+    for chunk, name, size, row in zip(chunks, hashes, sizes, values):
+        if chunk is None:
+            continue
+        name, row = np.frombuffer(name, np.uint64), np.frombuffer(row, np.uint16)
+        at = np.searchsorted(known[:-1], name)
+        each = np.repeat(np.where(known[at] == name, value[at], 0.0), np.frombuffer(size, np.int32))
+        found = np.flatnonzero(np.bincount(row)).astype(np.uint16)
+        out.append((chunk, found.tobytes(), np.bincount(row, each)[found].tobytes()))
+    k = group.column("range")[0].as_py()
+    return pa.Table.from_arrays([
+        pa.array([x[0] for x in out], pa.int64()), pa.array([k] * len(out), pa.int32()),
+        pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], _PARTS.names)
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The sums of each row of a chunk over all ranges, in their order."""
+    parts = sorted(zip(*(group.column(x).to_pylist() for x in ("range", "rows", "sums"))))
+    at = np.concatenate([np.frombuffer(x[1], np.uint16) for x in parts])
+    total = np.bincount(at, np.concatenate([np.frombuffer(x[2], np.float64) for x in parts]))
+    found = np.unique(at)
+    return pa.Table.from_arrays([
+        pa.array([group.column("__chunk")[0].as_py()] * len(found), pa.int64()), pa.array(found.astype(np.int32)), pa.array(total[found])], _MORE.names)
 
 
 def score(
@@ -294,29 +374,38 @@ def score(
     The network tells ``words`` from each other and puts any other word in a
     class.  With ``counts``, the table of all words, log P(word | class) is added
     for these; without it, they count with the probability of the class alone.
-    The words meet the table in a join: each few rows send their different words.
+    Words meet the table by ranges of their 64-bit hashes: each few rows send
+    their different words once, and get back one sum for a row and range.
     """
     names = ["n_scored", "log_prob", "mean_log_prob"]
     columns = [c for c in docs.columns if c not in names and (keep_columns is None or c in keep_columns)]
     shared = docs.sparkSession.sparkContext.broadcast((words, packed(parameters)))
     full = counts is not None
     extra = ["__chunk", "__at", "__others"] if full else []
+    totals, bits = np.zeros(0), 5
+    if full:
+        totals = np.log(np.array(class_totals(counts, words), np.float64) + 1)
+        bits = max(bits, int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // (16 << 20)).bit_length())
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shared.value
         numbers, p = WordNumbers(known), unpacked(flat)
         others: list[bytes] | None = [] if full else None
         chunk = TaskContext.get().partitionId() << 32
-        for batch, begin, length, stream, places in _streams(source, 0, numbers, 1 << 17 if full else 1 << 18, others):
+        for batch, begin, length, stream, places in _streams(source, 0, numbers, others=others):
             parts = [log_likelihoods(p, stream, places[at : at + 2048]) for at in range(0, len(places), 2048)]
             each = np.concatenate(parts) if parts else np.zeros(0)
             row = np.repeat(np.arange(len(length)), length)
+            if full:
+                other = stream[places] <= OTHERS
+                each = each.astype(np.float64)
+                each[other] -= totals[stream[places][other] - 1] + _BYTE * (1 + np.fromiter(map(len, others), np.int64, len(others)))
             total = np.bincount(row, each, len(length))
             kept = batch.slice(begin, len(length))
             mean = pa.array(total / np.maximum(length, 1), pa.float64(), mask=length == 0)
             more = []
             if full:
-                found = _where_found(others, row[stream[places] <= OTHERS], len(length))
+                found = _where_found(others, row[other], len(length), bits)
                 more = [pa.array(np.full(len(length), chunk)), pa.array(np.arange(len(length), dtype=np.int32)), found]
                 chunk += 1
             yield pa.RecordBatch.from_arrays(
@@ -327,15 +416,15 @@ def score(
         T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
     whole = T.StructType(schema.fields + [
         T.StructField("__chunk", T.LongType()), T.StructField("__at", T.IntegerType()),
-        T.StructField("__others", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("rows", T.BinaryType())])))])
+        T.StructField("__others", T.ArrayType(_FOUND))])
     out = docs.select(F.col(text).alias("__text"), *columns).mapInArrow(run, whole if full else schema)
     if not full:
         return out
     out = cut_lineage(out)
-    totals = class_totals(counts, words)
     sent = out.where(F.size("__others") > 0).select("__chunk", F.inline("__others"))
-    met = sent.join(counts, "word", "left").select("__chunk", "rows", _log_in_class(F.col("word"), F.coalesce("n", F.lit(0)), totals).alias("share"))
-    more = met.groupBy("__chunk").applyInArrow(_in_class, _IN_CLASS)
+    table = _count_ranges(counts, bits).withColumn("__chunk", F.lit(None).cast("long"))
+    parts = sent.unionByName(table).groupBy("range").applyInArrow(_looked_up, _PARTS)
+    more = parts.groupBy("__chunk").applyInArrow(_added, _MORE)
     log_prob = F.col("log_prob") + F.coalesce("__more", F.lit(0.0))
     return out.drop("__others").join(more, ["__chunk", "__at"], "left").select(
         *columns, "n_scored", log_prob.alias("log_prob"), F.when(F.col("n_scored") > 0, log_prob / F.col("n_scored")).alias("mean_log_prob"))

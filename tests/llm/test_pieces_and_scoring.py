@@ -1,8 +1,10 @@
 import math
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from brute import greedy_pieces
 
 from roadflow.llm import pieces, scoring
@@ -154,3 +156,58 @@ def test_every_word_has_its_own_probability(spark, documents):
     # A word that occurs once scores lower than a frequent one of its class.
     assert more("never-seen") < more("r1")
     assert scoring.score(documents([]), words, p, counts=counts).count() == 0
+
+
+def test_every_word_is_a_target_once(spark, documents, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(rng.choice([0, 1, 2, 7, 60])))) for k in range(40)]
+    words = sorted({w.encode() for _, t in rows for w in t.split()})[: scoring.WORDS - 1 - scoring.OTHERS]
+    assert len(words) > 300
+    folder = str(tmp_path)
+
+    class Noted(scoring.Trainer):
+        def step(self, stream, at):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(" ".join(map(str, stream[at].tolist())))
+
+    monkeypatch.setattr(scoring, "Trainer", Noted)
+    source = [pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"])]
+
+    class Docs:
+        """Runs the tasks of ``train`` here, so that their steps can be noted."""
+
+        class sparkSession:
+            class sparkContext:
+                broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+
+        def select(self, *_):
+            return self
+
+        groupBy = applyInArrow = orderBy = select
+
+        def mapInArrow(self, work, _):
+            list(work(iter(source)))
+            return self
+
+        def collect(self):
+            return []
+
+    monkeypatch.setattr(scoring.F, "pmod", lambda *_: None)
+    monkeypatch.setattr(scoring.F, "lit", lambda *_: None)
+    scoring.train(Docs(), words)
+    numbers = scoring.WordNumbers(words)
+    found = Counter(int(x) for f in tmp_path.iterdir() for x in f.read_text().split())
+    assert found == Counter(numbers[w.encode()] for _, t in rows for w in t.split())
+
+
+def test_registered_training_scores(spark, documents):
+    rng = random.Random(9)
+    pairs = [(f"h{k}", f"t{k}") for k in range(20)]
+    docs = documents([(k, " ".join(f"{h} is {t}" for h, t in rng.choices(pairs, k=40))) for k in range(200)]).repartition(3).cache()
+    counts = scoring.word_counts(docs).cache()
+    words = scoring.vocabulary(docs, counts=counts)
+    real = [w for h, t in rng.choices(pairs, k=200) for w in (h, "is", t)]
+    mixed = rng.sample(real, len(real))
+    asked = documents([(1, " ".join(real)), (2, " ".join(mixed))])
+    out = {r["doc_id"]: r["mean_log_prob"] for r in scoring.score(asked, words, scoring.train(docs, words), counts=counts).collect()}
+    assert out[1] > out[2] + 0.5
