@@ -164,7 +164,7 @@ def op10_preferences(spark, folder):
 
 @query("op6_line_dedup")
 def op6_line_dedup(spark, folder):
-    cleaned = line_dedup.without_repeated_lines(table(spark, folder, "documents"))
+    cleaned = line_dedup.without_repeated_lines(table(spark, folder, "documents"), least_equal=1)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
