@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, sharding
+from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, shared_search, sharding
 from roadflow.llm.registry import QUERIES, SQL, query, table
 from roadflow.session import cut_lineage
 
@@ -176,4 +176,34 @@ def op5_scoring(spark, folder):
     return scoring.score(docs, words, scoring.train(docs, words), keep_columns=["doc_id"], counts=counts)
 
 
+SEARCH_SQL = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE text IS NOT NULL),
+i AS (
+    SELECT row_number() OVER () AS i, item_id,
+           regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL),
+it AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(w) AS term FROM i) GROUP BY i, term),
+s AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+tf AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+df AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY term, nn),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w)::BIGINT * nn) // ll AS m FROM d, s WHERE len(w) > 0),
+sc AS (
+    SELECT i, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM tf JOIN df USING (term) JOIN m USING (r) JOIN it USING (term) GROUP BY i, r HAVING score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc JOIN m USING (r))
+JOIN i USING (i) WHERE rank <= 20
+"""
+
+
+@query("op11_search", SEARCH_SQL)
+def op11_search(spark, folder):
+    return shared_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 __all__ = ["QUERIES", "SQL"]
