@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, shared_search, sharding
+from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, shared_search, sharding, turn_repair
 from roadflow.llm.registry import QUERIES, SQL, query, table
 from roadflow.session import cut_lineage
 
@@ -206,4 +206,88 @@ def op11_search(spark, folder):
     return shared_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+#: crc32 bit by bit: DuckDB has no function for it. The key is ASCII.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE c AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+    FROM conversations),
+d AS (
+    SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN fate = 0 THEN [] WHEN fate = 3 THEN [1, 2] ELSE [1] END)
+    FROM c),
+n AS (
+    SELECT conv_id, turn, role, text, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+           row_number() OVER w AS k,
+           lag(left(role, 1)) OVER w AS earlier
+    FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank'
+           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM n),
+t AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n_rows
+    FROM f GROUP BY conv_id),
+-- Up to two inserts before each row and behind the last, then the row's edit; of one place the cheapest and least audit goes on.
+grow AS (SELECT * FROM (VALUES ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')) AS g(pl, put, goal)),
+p AS (
+    SELECT conv_id, 0::BIGINT AS k, '' AS pl, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM t
+    UNION ALL
+    SELECT conv_id, k, pl, cost, audit, lines FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, pl ORDER BY cost, audit) AS best FROM (
+            SELECT conv_id, k, e.pl AS pl, (cost + e.cost)::BIGINT AS cost, audit || e.edit AS audit, lines || e.line AS lines FROM (
+            SELECT i.conv_id, i.k + 1 AS k, i.cost, i.audit, i.lines,
+                   unnest(CASE WHEN f.fault IN ('blank', 'duplicate') THEN [{{'pl': i.pl, 'cost': 2, 'edit': 'D', 'line': []::VARCHAR[]}}]
+                       ELSE [{{'pl': i.pl, 'cost': 2, 'edit': 'D', 'line': []::VARCHAR[]}},
+                             {{'pl': g.goal, 'cost': CASE f.fault WHEN '' THEN 1 ELSE 6 END, 'edit': 'R',
+                              'line': [CASE g.goal WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text]}}]
+                       || CASE WHEN f.initial = g.goal OR (i.pl = '' AND f.initial = 's')
+                          THEN [{{'pl': f.initial, 'cost': CASE f.fault WHEN '' THEN 0 ELSE 5 END, 'edit': 'K', 'line': [f.role || ':' || f.text]}}]
+                          ELSE [] END END) AS e
+            FROM (
+                SELECT conv_id, k, pl, cost, audit, lines FROM p
+                UNION ALL
+                SELECT conv_id, k, g.goal, cost + 5, audit || 'I', lines || [CASE g.put WHEN 'u' THEN 'user:' ELSE 'assistant:' END]
+                FROM p JOIN grow g USING (pl)
+                UNION ALL
+                SELECT conv_id, k, h.goal, cost + 10, audit || 'II',
+                       lines || [CASE g.put WHEN 'u' THEN 'user:' ELSE 'assistant:' END, CASE h.put WHEN 'u' THEN 'user:' ELSE 'assistant:' END]
+                FROM p JOIN grow g USING (pl) JOIN grow h ON h.pl = g.goal) i
+            JOIN f ON f.conv_id IS NOT DISTINCT FROM i.conv_id AND f.k = i.k + 1 JOIN grow g ON g.pl = i.pl))) WHERE best = 1),
+z AS (
+    SELECT conv_id, k, CASE WHEN pl IN ('', 'a') THEN cost WHEN pl = 'u' THEN cost + 5 ELSE cost + 10 END AS cost,
+           CASE WHEN pl IN ('', 'a') THEN audit WHEN pl = 'u' THEN audit || 'I' ELSE audit || 'II' END AS audit,
+           CASE WHEN pl IN ('', 'a') THEN lines WHEN pl = 'u' THEN lines || ['assistant:'] ELSE lines || ['user:', 'assistant:'] END AS lines
+    FROM p),
+r AS (
+    SELECT z.conv_id, arg_min({{'cost': cost, 'audit': audit, 'lines': lines}}, {{'cost': cost, 'audit': audit}}) AS best
+    FROM z JOIN t ON t.conv_id IS NOT DISTINCT FROM z.conv_id AND z.k = t.n_rows GROUP BY z.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query("op13_repair", REPAIR_SQL)
+def op13_repair(spark, folder):
+    turns = table(spark, folder, "conversations")
+    edits, summary = turn_repair.repair(turn_repair.damage(turns))
+    asked = turns.select("conv_id").distinct().withColumn("key", turn_repair.conversation_key())
+    found = asked.join(summary, "key", "left").join(turn_repair.digests(edits), "key", "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 __all__ = ["QUERIES", "SQL"]
