@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, shared_search, sharding, turn_repair
+from roadflow.llm import decontaminate, jaccard, language, line_dedup, mixing, neighbours, pieces, preferences, scoring, shared_search, sharding, turn_repair, weak_labels
 from roadflow.llm.registry import QUERIES, SQL, query, table
 from roadflow.session import cut_lineage
 
@@ -290,4 +290,12 @@ def op13_repair(spark, folder):
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@query("op12_toxicity")
+def op12_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = weak_labels.learn(docs, table(spark, folder, "labels"))
+    held = docs.select("doc_id", weak_labels.held_out("doc_id").alias("held_out"), "text")
+    return weak_labels.score(held, model, keep_columns=["doc_id", "held_out"])
+
+
 __all__ = ["QUERIES", "SQL"]
