@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import centred_frame, first_half
 from roadflow.operators.ordering import running_total, time_order, with_neighbours
+from roadflow.session import cut_lineage
 
 FRAME_KEY = ["frame_id", "node_from", "node_to"]
 FCD_FIELDS = [
@@ -179,3 +180,33 @@ def drawing_rows(rows: DataFrame) -> DataFrame:
         F.array("count_unique_first", "count_unique_second").alias("densities"),
         F.array(half("first"), half("second")).alias("speeds"),
     )
+
+
+def vehicle_sketches(records: DataFrame, interval_s: int, log_registers: int = 14) -> DataFrame:
+    """One mergeable sketch of the vehicles per frame and segment: ``(frame_id, node_from, node_to, sketch)``."""
+    return assign_frames(records, interval_s).groupBy(*FRAME_KEY).agg(F.hll_sketch_agg("vehicle_id", log_registers).alias("sketch"))
+
+
+def vehicles_in_range(sketches: DataFrame, first: int, last: int, by: list[str] | None = None) -> DataFrame:
+    """Estimated distinct vehicles of the frames ``first..last`` from stored sketches, per ``by`` (all together by default)."""
+    kept = sketches.where(F.col("frame_id").between(first, last))
+    return kept.groupBy(*(by or [])).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("vehicles"))
+
+
+def running_vehicles(sketches: DataFrame) -> DataFrame:
+    """Estimated distinct vehicles from the first frame up to each: ``(frame_id, vehicles)``.
+
+    Frames are merged to one sketch each, of bounded size; each frame then
+    merges with the frames before it by doubling their reach, so no task holds
+    all frames of a long run.
+    """
+    per_frame = sketches.groupBy("frame_id").agg(F.hll_union_agg("sketch").alias("sketch"))
+    low, high = per_frame.agg(F.min("frame_id"), F.max("frame_id")).first()
+    reach = 1
+    if low is not None:  # frames without a record hand on what is before them
+        per_frame = per_frame.sparkSession.range(low, high + 1).withColumnRenamed("id", "frame_id").join(per_frame, "frame_id", "left")
+    while low is not None and reach <= high - low:
+        later = per_frame.select((F.col("frame_id") + reach).alias("frame_id"), "sketch").where(F.col("frame_id") <= high)
+        per_frame = cut_lineage(per_frame.union(later).groupBy("frame_id").agg(F.hll_union_agg("sketch").alias("sketch")))
+        reach *= 2
+    return per_frame.select("frame_id", F.hll_sketch_estimate("sketch").alias("vehicles"))

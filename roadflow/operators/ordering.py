@@ -126,6 +126,28 @@ def forward_fill(df: DataFrame, order: str, block: Column, columns: Sequence[str
     return out.where(F.col(_CARRY) == 1).drop(_BLOCK, _CARRY)
 
 
+def as_of(asked: DataFrame, facts: DataFrame, keys: Sequence[str], order: str, block: Column, columns: Sequence[str], name: str = "fact") -> DataFrame:
+    """Add to each asked row, as a struct ``name``, the ``columns`` of the last fact of its keys not after it in ``order``.
+
+    Facts of equal order are settled by the largest ``columns``.  A row before the
+    first fact gets null.  Both tables are cut into ``(keys, block)``; what a block
+    begins with comes from one small table of each block's last fact, so no task
+    gets a whole key.
+    """
+    keys = list(keys)
+    fact = F.struct(*[F.col(c) for c in columns])
+    rows = asked.withColumns({_BLOCK: block, "__fact": F.lit(None).cast(facts.select(fact.alias("f")).schema["f"].dataType), "__kind": F.lit(1)})
+    known = facts.withColumns({_BLOCK: block, "__fact": fact}).select(*keys, order, _BLOCK, "__fact", F.lit(0).alias("__kind"))
+    lasts = known.groupBy(*keys, _BLOCK).agg(F.max(F.struct(order, "__fact"))["__fact"].alias("__last"))
+    blocks = rows.select(*keys, _BLOCK).union(known.select(*keys, _BLOCK)).distinct().join(lasts, [*keys, _BLOCK], "left")
+    before = _keyed(keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    carries = blocks.select(*keys, _BLOCK, F.last("__last", ignorenulls=True).over(before).alias("__fact"), F.lit(-1).alias("__kind")).where("__fact IS NOT NULL")
+    both = rows.unionByName(known, allowMissingColumns=True).unionByName(carries, allowMissingColumns=True)
+    upto = W.partitionBy(*keys, _BLOCK).orderBy(F.when(F.col("__kind") < 0, 0).otherwise(1), order, "__kind", "__fact").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn(name, F.last("__fact", ignorenulls=True).over(upto)).where("__kind = 1")
+    return found.select(*asked.columns, name)
+
+
 def dense_sequence(bounds: DataFrame, low: str, high: str, name: str, chunk: int = 4096) -> DataFrame:
     """Rows ``low..high`` (inclusive) of a one-row table, generated in parallel chunks."""
     chunks = bounds.where(F.col(low).isNotNull()).select(

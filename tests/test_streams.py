@@ -1,91 +1,140 @@
-"""Native watermarked frames and the incremental view against their batch forms."""
+"""Streams on Spark's own state against their batch forms."""
+
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from roadflow.operators import frames, observations
 from roadflow.sources import tables
-from roadflow.streaming.incremental import IncrementalFrames, IncrementalView, run_available, windowed_frames
+from roadflow.streaming import stateful
 
 RECORD = (
     "seq long, timestamp long, vehicle_id long, node_from long, node_to long, speed_mps double, start_offset_m float, "
     "segment_length int, active boolean"
 )
+FAR = 10_000_000
 
 
-def sample(spark):
-    return spark.createDataFrame(
-        [(n, n * 3, n % 5, n % 2, 9, float(n % 7), float(n * 13 % 90), 100, True) for n in range(60)], RECORD
-    )
-
-
-def test_windowed_frames(spark, tmp_path):
-    r = sample(spark)
-    # A late marker moves the watermark past the last frame, which append mode would otherwise hold back.
-    marker = r.where("seq = 0").withColumns({"timestamp": F.lit(100000).cast("long"), "node_from": F.lit(77).cast("long")})
-    source = str(tmp_path / "in")
-    out = str(tmp_path / "out")
-    for part in (r, marker):
-        part.withColumn("event_time", F.timestamp_seconds("timestamp")).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-        query = (
-            windowed_frames(stream, 30).writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", str(tmp_path / "log")).outputMode("append").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    got = {tuple(x) for x in spark.read.parquet(out).where("node_from <> 77").collect()}
-    want = frames.assign_frames(r, 30).groupBy("frame_id", "node_from", "node_to").agg(F.sum("speed_mps"), F.count("*"))
-    assert got == {tuple(x) for x in want.collect()}
-
-
-def test_incremental_view(spark, tmp_path):
-    r = sample(spark)
-    segments = spark.createDataFrame([(0, 9, 100, 1), (1, 9, 100, 2)], "node_from long, node_to long, length_m int, lanes int")
-    view = IncrementalView(spark, str(tmp_path / "v"), segments, tolerance=10, keep=30)
-    source = str(tmp_path / "in")
-    r.coalesce(1).write.parquet(source)
-    run_available(spark.readStream.schema(r.schema).parquet(source), view.process, str(tmp_path / "log"))
-    assert sorted(map(tuple, view.segment_speed().collect())) == sorted(map(tuple, observations.segment_speed(r).collect()))
-    levels = {x.probe_id: x for x in view.levels().collect()}
-    assert len(levels) == 60
-    newest = 59 * 3
-    for n in range(60):
-        kept = [m for m in range(60) if m * 3 >= newest - 30]
-        ahead = {m % 5 for m in kept if m % 2 == n % 2 and abs(m - n) * 3 <= 10 and (m * 13 % 90) > (n * 13 % 90) and m % 5 != n % 5}
-        assert levels[n].vehicles_ahead == len(ahead)
-
-
-def test_state_is_merged_and_batches_can_repeat(spark, tmp_path):
-    r = sample(spark).cache()
-    job = IncrementalFrames(spark, str(tmp_path / "s"), 30, compact_every=3)
-    view = IncrementalView(spark, str(tmp_path / "v"), compact_every=3)
-    for n in range(10):
-        part = r.where((F.col("seq") >= 6 * n) & (F.col("seq") < 6 * n + 6))
-        for _ in range(2 if n in (2, 3, 5, 8) else 1):  # a batch is repeated after a failure
-            job.process(part, n)
-            view.process(part, n)
-    assert len(list((tmp_path / "s" / "ends").glob("batch=*"))) == 2 and len(list((tmp_path / "s" / "ends").glob("base=*"))) == 1
-    key = ["frame_id", "node_from", "node_to"]
+def rows(count=60):
+    return [(n, 1000 + n * 3, n % 5, n % 2, 9, float(n % 7), float(n * 13 % 90), 100, n % 11 > 0) for n in range(count)]
+
+
+def far(k=0):
+    """A record far ahead closes what lies before it; its own windows stay open."""
+    return [(FAR + k, FAR + k, 99, 77, 9, 0.0, 0.0, 100, True)]
+
+
+def run(spark, tmp_path, form, parts, name="s"):
+    """Feed the parts one after the other, each to a query restarted from the checkpoint; returns the outcome and the last query."""
+    source, query = str(tmp_path / name / "in"), None
+    for part in [*parts, far()]:
+        spark.createDataFrame(part, RECORD).coalesce(1).write.mode("append").parquet(source)
+        stream = form(spark.readStream.schema(RECORD).parquet(source))
+        query = stateful.append_available(stream, str(tmp_path / name / "out"), str(tmp_path / name / "log"))
+    return spark.read.schema(stream.schema).parquet(str(tmp_path / name / "out")), query
+
+
+def cut(all_rows, size):
+    return [all_rows[k : k + size] for k in range(0, len(all_rows), size)]
+
+
+def same(a, b):
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_frame_rows(spark, tmp_path):
+    r = spark.createDataFrame(rows(), RECORD)
+    got, _ = run(spark, tmp_path, lambda s: stateful.frame_rows(s, 30), cut(rows(), 20))
     want = frames.frame_rows(r, 30)
-    assert sorted(map(tuple, job.rows().select(want.columns).collect())) == sorted(map(tuple, want.collect())) and key
-    assert sorted(map(tuple, job.stats().collect())) == sorted(map(tuple, frames.added_stats(r, 30).collect()))
-    assert sorted(map(tuple, view.segment_speed().collect())) == sorted(map(tuple, observations.segment_speed(r).collect()))
+    same(got.select(want.columns), want)
+    got, _ = run(spark, tmp_path, lambda s: stateful.windowed_frames(s, 30), cut(rows(), 30), "w")
+    same(got, frames.assign_frames(r, 30).groupBy("frame_id", "node_from", "node_to").agg(F.sum("speed_mps"), F.count("*")))
+
+
+def test_late_records_count_within_the_lateness(spark, tmp_path):
+    mixed = [rows()[k] for k in sorted(range(60), key=lambda k: k // 8 * 8 - k % 8)]
+    got, _ = run(spark, tmp_path, lambda s: stateful.frame_rows(s, 30, "60 seconds"), cut(mixed, 15))
+    want = frames.frame_rows(spark.createDataFrame(rows(), RECORD), 30)
+    same(got.select(want.columns), want)
+
+
+def test_added_stats(spark, tmp_path):
+    blocks, _ = run(spark, tmp_path, lambda s: stateful.stretches(s, 30, block_s=20), cut(rows(), 25))
+    same(stateful.added_stats_of(blocks), frames.added_stats(spark.createDataFrame(rows(), RECORD), 30))
+
+
+def test_latest_speeds_and_eviction(spark, tmp_path):
+    r = spark.createDataFrame(rows(), RECORD)
+    latest, _ = run(spark, tmp_path, lambda s: stateful.latest_speeds(s, window="40 seconds"), cut(rows(), 25))
+    same(stateful.segment_speed_of(latest), observations.segment_speed(r))
+    # Evicted are windows' latest records: the latest of a vehicle decides, so the outcome is that of the records.
+    same(stateful.segment_speed_of(latest, 1100), observations.segment_speed(observations.evict(r, 1100)))
+
+
+def test_a_batch_repeated_after_a_failure_counts_once(spark, tmp_path):
+    first, second = cut(rows(), 30)
+    run(spark, tmp_path, lambda s: stateful.frame_rows(s, 30), [first, second])
+    log = tmp_path / "s" / "log"
+    last = max(int(p.name) for p in (log / "commits").iterdir() if p.name.isdigit())
+    for p in [log / "commits" / str(last), log / "commits" / f".{last}.crc"]:
+        p.unlink(missing_ok=True)  # the driver was lost before it noted the batch as done
+    stream = stateful.frame_rows(spark.readStream.schema(RECORD).parquet(str(tmp_path / "s" / "in")), 30)
+    stateful.append_available(stream, str(tmp_path / "s" / "out"), str(log))
+    want = frames.frame_rows(spark.createDataFrame(rows(), RECORD), 30)
+    same(spark.read.parquet(str(tmp_path / "s" / "out")).select(want.columns), want)
 
 
 def test_broken_state_is_an_error(spark, tmp_path):
-    r = sample(spark)
-    job = IncrementalFrames(spark, str(tmp_path / "s"), 30)
-    job.process(r.where("seq < 30"), 0)
-    for file in (tmp_path / "s" / "ends" / "batch=0").glob("part-*"):
-        file.write_bytes(b"no parquet")
-    for file in (tmp_path / "s" / "ends" / "batch=0").glob(".part-*"):
-        file.unlink()
-    with pytest.raises(Exception):
-        job.process(r.where("seq >= 30"), 1)
-    empty = tmp_path / "e"
-    (empty / "ends" / "batch=0").mkdir(parents=True)
+    source, log = str(tmp_path / "in"), tmp_path / "log"
+
+    def take(part):
+        spark.createDataFrame(part, RECORD).coalesce(1).write.mode("append").parquet(source)
+        stream = stateful.latest_speeds(spark.readStream.schema(RECORD).parquet(source), window="1 hour")
+        stateful.append_available(stream, str(tmp_path / "out"), str(log))
+
+    take(rows()[:30])
+    spark.sparkContext._jvm.org.apache.spark.sql.execution.streaming.state.StateStore.stop()
+    for file in [*(log / "state").rglob("*.delta"), *(log / "state").rglob("*.snapshot"), *(log / "state").rglob(".*.crc")]:
+        file.write_bytes(b"no state") if file.suffix != ".crc" else file.unlink()
     with pytest.raises(Exception):
-        IncrementalFrames(spark, str(empty), 30).process(r, 1)
+        take(rows()[30:])
+
+
+def _sides(stream):
+    view = stream.select("seq", "vehicle_id", "node_from", "node_to", "timestamp", F.col("start_offset_m").cast("double").alias("offset_m"))
+    return view.withColumnRenamed("seq", "probe_id"), view
+
+
+def test_record_pairs(spark, tmp_path):
+    got, _ = run(spark, tmp_path, lambda s: stateful.record_pairs(*_sides(s), 10).select("probe_id", "seq"), cut(rows(), 20))
+    want = {(a[0], b[0]) for a in rows() for b in rows() if a[3] == b[3] and abs(a[1] - b[1]) <= 10}
+    pairs = [tuple(x) for x in got.where(f"seq < {FAR}").collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+
+
+def test_vehicles_ahead_and_levels(spark, tmp_path):
+    ahead, _ = run(spark, tmp_path, lambda s: stateful.vehicles_ahead(*_sides(s), 10), cut(rows(), 30))
+    r = spark.createDataFrame(rows(), RECORD)
+    segments = spark.createDataFrame([(0, 9, 100, 1), (1, 9, 100, 2)], "node_from long, node_to long, length_m int, lanes int")
+    want = observations.service_levels(*_sides(r), segments, 10).select("probe_id", "vehicles_ahead", "los")
+    same(stateful.service_levels_of(ahead, segments).select("probe_id", "vehicles_ahead", "los"), want)
+
+
+def test_state_of_the_range_join_does_not_grow_with_the_stream(spark, tmp_path):
+    """Ten times the records in ten times the time: both states hold what the band needs and no more."""
+    sizes = {}
+    for name, count in (("short", 200), ("long", 2000)):
+        source, held = str(tmp_path / name / "in"), []
+        for part in cut(rows(count), 100):
+            spark.createDataFrame(part, RECORD).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", 1).parquet(source)
+        query = stateful.append_available(
+            stateful.record_pairs(*_sides(stream), 10).select("probe_id", "seq"), str(tmp_path / name / "out"), str(tmp_path / name / "log"))
+        for progress in query.recentProgress:
+            held += [op["numRowsTotal"] for op in json.loads(progress.json if isinstance(progress.json, str) else json.dumps(progress))["stateOperators"]]
+        sizes[name] = max(held)
+    assert sizes["long"] <= 1.1 * sizes["short"] + 20
 
 
 def test_record_time(spark):

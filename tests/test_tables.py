@@ -9,7 +9,6 @@ from roadflow.functions import scalars as s
 from roadflow.operators import demand, filling, frames, network, positions, vehicles
 from roadflow.plans import config, jobs
 from roadflow.sources import tables
-from roadflow.streaming.incremental import IncrementalFrames, run_available
 
 RECORD = (
     "seq long, timestamp long, vehicle_id long, node_from long, node_to long, speed_mps double, start_offset_m float, "
@@ -224,20 +223,6 @@ def test_config(tmp_path):
         config.AlternativesRatio(0.7, 0.7).as_list()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(n * 3 + n // 50, n % 4, n % 3, 9, float(n % 7), float(n * 13 % 90), 100, n % 11 != 0) for n in range(120)]
-    r = records(spark, rows)
-    source = str(tmp_path / "in")
-    for part in range(3):
-        r.where((F.col("seq") >= part * 40) & (F.col("seq") < part * 40 + 40)).coalesce(1).write.mode("append").parquet(source)
-        job = IncrementalFrames(spark, str(tmp_path / "agg"), 50)
-        run_available(spark.readStream.schema(r.schema).parquet(source), job.process, str(tmp_path / "log"))
-    key = ["frame_id", "node_from", "node_to"]
-    assert sorted(map(tuple, job.rows().collect())) == sorted(map(tuple, frames.frame_rows(r, 50).select(job.rows().columns).collect()))
-    assert sorted(map(tuple, job.stats().collect())) == sorted(map(tuple, frames.added_stats(r, 50).collect()))
-    assert key
-
-
 def test_polyline_point(spark):
     line = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 3D, 'y', 0D), named_struct('x', 3D, 'y', 1D))"
     df = spark.sql(f"SELECT {line} AS line, explode(array(0D, 0.5D, 0.75D, 0.875D, 1D)) AS w")
