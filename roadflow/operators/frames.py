@@ -207,6 +207,7 @@ def running_vehicles(sketches: DataFrame) -> DataFrame:
         per_frame = per_frame.sparkSession.range(low, high + 1).withColumnRenamed("id", "frame_id").join(per_frame, "frame_id", "left")
     while low is not None and reach <= high - low:
         later = per_frame.select((F.col("frame_id") + reach).alias("frame_id"), "sketch").where(F.col("frame_id") <= high)
-        per_frame = cut_lineage(per_frame.union(later).groupBy("frame_id").agg(F.hll_union_agg("sketch").alias("sketch")))
+        merged = F.when(F.count("sketch") > 0, F.hll_union_agg("sketch"))  # of nulls alone it would be an empty sketch of another size
+        per_frame = cut_lineage(per_frame.union(later).groupBy("frame_id").agg(merged.alias("sketch")))
         reach *= 2
     return per_frame.select("frame_id", F.hll_sketch_estimate("sketch").alias("vehicles"))
