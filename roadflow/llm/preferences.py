@@ -55,7 +55,8 @@ def pair_turns(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         F.struct(F.lit("rejected").alias("part"), F.col("rejected_id").alias("conv")))).alias("side"))
     written = sides.select("chosen_id", "rejected_id", "side.part", "side.conv").join(turns, "conv").drop("conv")
     # A place belongs to the prefix if both sides have it with the same content; the first other place ends it.
-    content = F.sha2(F.concat_ws("\n", "role", "text"), 256)
+    # The role's length stands first, so that no line feed in a role or text moves the border between them.
+    content = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     places = written.groupBy("chosen_id", "rejected_id", "place").agg(
         F.count(F.lit(1)).alias("n"), F.min(content).alias("low"), F.max(content).alias("high"))
     prefix = places.groupBy("chosen_id", "rejected_id").agg(

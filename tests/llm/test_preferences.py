@@ -58,3 +58,9 @@ def test_pairs_and_empty(spark):
     table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     assert sorted(map(tuple, P.consecutive_pairs(table).collect())) == [(2, 3), (4, 5)]
     assert _examples(spark, [], [(1, 2)]) == {}
+
+
+def test_line_feeds_do_not_move_the_border_of_role_and_text(spark):
+    turns = [(1, 0, "a\nb", "c"), (2, 0, "a", "b\nc"), (1, 1, "user", "x"), (2, 1, "user", "x")]
+    out = _examples(spark, turns, [(1, 2)])
+    assert set(out) == {(1, 2, "chosen", 0), (1, 2, "rejected", 0)} and out[1, 2, "rejected", 0]["n_turns"] == 2
