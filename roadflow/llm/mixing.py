@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadflow.llm.names import free_names
 from roadflow.session import cut_lineage
 
 _UNIT = float(1 << 60)
@@ -21,6 +22,21 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _with_draw_key(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """Add what a row is drawn by: its key; without one the digest of all its columns and a number among rows equal in all.
+
+    Rows without a key are counted and repeated from the count, which numbers
+    equal ones without putting them into one task.
+    """
+    keyed = docs.where(F.col(key).isNotNull()).withColumn(name, _text(key))
+    number, content = free_names(docs.columns, "number", "content")
+    nameless = docs.where(F.col(key).isNull()).groupBy(*docs.columns).agg(F.count(F.lit(1)).alias(number))
+    nameless = nameless.withColumn(content, F.md5(F.concat_ws(":", *[_text(c) for c in docs.columns])))
+    nameless = nameless.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(number))))
+    return keyed.unionByName(nameless.select(
+        *docs.columns, F.concat_ws(":", F.lit("null"), content, F.col(number).cast("string")).alias(name)))
+
+
 def poisson_steps(rate: Column) -> Column:
     """Distribution function of a Poisson variable at 0, 1, 2, ... far into the tail, as an array.
 
@@ -80,16 +96,17 @@ def mix(
     where its size allows and otherwise joins by shuffle with skew splitting.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, source, weights, rows).withColumn("__steps", poisson_steps(F.col("rate")))
+    chance, steps, of, count, drawn = free_names([*docs.columns, "copy", "shuffle_key"], "__chance", "__steps", "__source", "__count", "__drawn")
+    rates = source_rates(docs, source, weights, rows).withColumnRenamed("__source", of).withColumn(steps, poisson_steps(F.col("rate")))
     # Written first, so that its size is known when the join is planned and the rows need not be dealt by source.
-    rates = cut_lineage(rates.withColumn("__steps", F.when(F.col("rate") > 0, F.col("__steps"))).drop("rate"))
-    chance = _hash60(F.lit(str(seed)), _text(key)) / F.lit(_UNIT)
+    rates = cut_lineage(rates.select(of, F.when(F.col("rate") > 0, F.col(steps)).alias(steps)))
     counted = (
-        docs.withColumn("__chance", chance)
-        .join(rates, F.col(source).eqNullSafe(F.col("__source")))
-        .withColumn("__count", F.size(F.filter("__steps", lambda step: step <= F.col("__chance"))))
-        .where("__count > 0")
+        _with_draw_key(docs, key, drawn)
+        .withColumn(chance, _hash60(F.lit(str(seed)), F.col(drawn)) / F.lit(_UNIT))
+        .join(rates, F.col(source).eqNullSafe(F.col(of)))
+        .withColumn(count, F.size(F.filter(steps, lambda step: step <= F.col(chance))))
+        .where(F.col(count) > 0)
     )
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__count")))).withColumn(
-        "shuffle_key", _hash60(F.lit(str(seed)), _text(key), F.col("copy").cast("string")))
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count)))).withColumn(
+        "shuffle_key", _hash60(F.lit(str(seed)), F.col(drawn), F.col("copy").cast("string")))
     return copies.select(*docs.columns, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -85,14 +85,16 @@ c AS (
     UNION ALL
     SELECT source, rate, k + 1, log_p + ln(rate / (k + 1)), total + exp(log_p + ln(rate / (k + 1)))
     FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
-d AS (
-    SELECT *, ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u,
-           row_number() OVER () AS r
+k AS (
+    SELECT *, row_number() OVER () AS r, coalesce(doc_id::VARCHAR,
+           'null:' || md5(':' || coalesce(text, '') || ':' || coalesce(lang, '') || ':' || coalesce(source, '') || ':' || coalesce(n_chars::VARCHAR, ''))
+           || ':' || row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars)) AS key
     FROM documents),
+d AS (SELECT *, ('0x' || substr(md5('9:' || key), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM k),
 n AS (
     SELECT d.r, count(*) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND c.total <= d.u GROUP BY d.r)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
-       ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+       ('0x' || substr(md5('9:' || key || ':' || copy), 1, 15))::BIGINT AS shuffle_key
 FROM (SELECT d.*, unnest(generate_series(1, copies)) AS copy FROM d JOIN n ON d.r = n.r)
 """
 

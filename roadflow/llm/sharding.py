@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadflow.llm.names import free_names
 from roadflow.session import cut_lineage
 
 #: Bits of a row's hash: half from its key, half from its text.
@@ -80,13 +81,14 @@ def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "t
     added = ["shard", "shard_depth", "shard_bytes", "row_bytes"]
     docs = docs.drop(*added)
     entries = cut_lineage(docs.select(row_hash(key, text).alias("hash"), row_bytes(text).alias("bytes")))
-    out = docs.withColumns({"__hash": row_hash(key, text), "row_bytes": row_bytes(text)})
+    hashed, at = free_names([*docs.columns, *added], "__hash", "__cell")
+    out = docs.withColumns({hashed: row_hash(key, text), "row_bytes": row_bytes(text)})
     depth, size = F.lit(None).cast("int"), F.lit(None).cast("long")
     for number, (fine, leaf) in enumerate(directory(entries, limit_bytes)):
-        out = out.withColumn("__cell", F.shiftright("__hash", HASH_BITS - fine)).join(
-            leaf.select(F.col("cell").alias("__cell"), F.col("depth").alias(f"__depth{number}"), F.col("shard_bytes").alias(f"__size{number}")),
-            "__cell", "left").drop("__cell")
-        depth, size = F.coalesce(depth, F.col(f"__depth{number}")), F.coalesce(size, F.col(f"__size{number}"))
+        deep, full = free_names(out.columns, f"__depth{number}", f"__size{number}")
+        out = out.withColumn(at, F.shiftright(hashed, HASH_BITS - fine)).join(
+            leaf.select(F.col("cell").alias(at), F.col("depth").alias(deep), F.col("shard_bytes").alias(full)), at, "left").drop(at)
+        depth, size = F.coalesce(depth, F.col(deep)), F.coalesce(size, F.col(full))
     out = out.withColumns({"shard_depth": depth, "shard_bytes": size})
-    bits = F.expr(f"lpad(bin(shiftright(__hash, {HASH_BITS} - shard_depth)), shard_depth, '0')")
+    bits = F.expr(f"lpad(bin(shiftright(`{hashed}`, {HASH_BITS} - shard_depth)), shard_depth, '0')")
     return out.withColumn("shard", F.when(F.col("shard_depth") > 0, bits).otherwise(F.lit(""))).select(*docs.columns, *added)

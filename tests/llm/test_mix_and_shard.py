@@ -27,10 +27,14 @@ def _copies(rows, weights, size=None):
     w = {s: (weights.get(s, 0.0) if weights is not None else math.sqrt(c)) for s, c in n.items()}
     all_w, all_n = sum(w.values()), size or sum(n.values())
     out = Counter()
+    met = Counter()
     for r in rows:
         source = r[3] if len(r) > 3 else None
         rate = w[source] * all_n / (all_w * n[source]) if all_w else 0
-        key = "" if r[0] is None else r[0]
+        met[r] += 1
+        full = (*r, *([None] * (4 - len(r))), None if r[1] is None else len(r[1]))
+        content = hashlib.md5(":".join("" if c is None else str(c) for c in full).encode()).hexdigest()
+        key = f"null:{content}:{met[r]}" if r[0] is None else r[0]
         out[r[0], r[1]] += _poisson(rate, _md5(f"9:{key}", 15) / 2**60)
     return +out
 
@@ -95,3 +99,25 @@ def test_shards_of_odd_tables(spark, documents):
     docs = documents([(1, "abc")])
     row = sharding.shard(docs.withColumn("shard", docs.doc_id), 10).collect()[0]
     assert (row["shard"], row["shard_depth"], row["shard_bytes"], row["row_bytes"]) == ("", 0, 3, 3)
+
+
+def test_rows_without_a_key_are_drawn_one_by_one(spark, documents):
+    rows = [(None, "same", None, "a")] * 1900 + [(None, f"b{k}", None, "b") for k in range(100)]
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.mix(documents(rows)).collect())
+    assert got == _copies(rows, None)
+    assert sum(n for (_, t), n in got.items() if t == "same") > 1000 and len(got) > 80
+    keys = [r["shuffle_key"] for r in mixing.mix(documents(rows)).select("shuffle_key").collect()]
+    assert len(set(keys)) == len(keys)
+
+
+def test_columns_named_like_temporaries_stay(spark, documents):
+    docs = documents([(k, f"t{k}", None, "ab"[k % 2]) for k in range(40)])
+    names = ["__hash", "__cell", "__depth0", "__size0", "__steps", "__source", "__Chance", "__count", "__drawn", "number", "content", "n", "rate"]
+    for name in names:
+        docs = docs.withColumn(name, docs["doc_id"] + 7)
+    dealt, mixed = sharding.shard(docs, 64), mixing.mix(docs)
+    plain = documents([(k, f"t{k}", None, "ab"[k % 2]) for k in range(40)])
+    assert {(r["doc_id"], r["shard"]) for r in dealt.collect()} == {(r["doc_id"], r["shard"]) for r in sharding.shard(plain, 64).collect()}
+    for out in (dealt, mixed):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[name] == r["doc_id"] + 7 for r in out.collect() for name in names)
