@@ -197,19 +197,26 @@ def held_out(key: str, folds: int = 5) -> Column:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = 1 << 20, folds: int = 5) -> ContextModel:
     """Train on a sample of the labelled documents outside the held-out fold.
 
-    ``sample_bytes`` bounds the sample of each language (in expectation): whole
-    documents are drawn by a hash of their key, with the language's share of
-    bytes as the chance; a text longer than the whole sample isn't drawn.
+    ``sample_bytes`` bounds the sample of each language (in expectation): documents
+    are drawn by a hash of their key, with the language's share of bytes as the
+    chance, and that of the smallest hash always, so no language is lost.  A text
+    longer than the whole sample gives a part of a quarter as many characters,
+    placed by the hash.  Of texts sharing a key one is drawn.
     """
+    part = max(1, sample_bytes // 4)
+    hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
+    long = F.octet_length(text) > sample_bytes
+    start = (1 + F.pmod(hashed, F.greatest(F.lit(1), F.length(text) - part + 1))).cast("int")
     labelled = docs.where(
         F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key, folds)
-        & (F.octet_length(text) <= sample_bytes)
-    ).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    ).select(
+        F.col(lang).cast("string").alias("lang"), F.when(long, F.substring(text, start, F.lit(part))).otherwise(F.col(text)).alias("text"),
+        F.when(long, F.lit(part)).otherwise(F.octet_length(text)).alias("size"), hashed.alias("hash"))
     # Written first, so that its size is known when the join is planned and the texts stay where they are.
-    sizes = cut_lineage(labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")))
-    chance = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("size", F.lit(1)))
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.join(sizes, "lang").where(draw < chance).select("lang", "text").collect()
+    sizes = cut_lineage(labelled.where("size > 0").groupBy("lang").agg(F.sum("size").alias("total"), F.min("hash").alias("least")))
+    chance = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("total", F.lit(1)))
+    drawn = labelled.where("size > 0").join(sizes, "lang").where((F.col("hash") / F.lit(float(1 << 30)) < chance) | (F.col("hash") == F.col("least")))
+    rows = drawn.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text").collect()
     texts: dict[str, list[bytes]] = {}
     for row in rows:
         if row["text"]:

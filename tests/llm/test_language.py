@@ -112,3 +112,16 @@ def test_query_accuracy(spark):
     rows = [r for r in QUERIES["op2_language"](spark, folder).collect() if r["held_out"]]
     assert len(rows) > 150
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
+
+
+def test_a_language_of_long_texts_is_learned(spark, documents):
+    """Texts longer than the sample give a part; of a language with few rows one is always drawn."""
+    rng = random.Random(4)
+    words = {"aa": ["mama", "tata", "kaka", "papa"], "bb": ["zxq", "qzx", "xqz", "zzq"]}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(k, text("aa", 3000), "aa") for k in range(6)] + [(10 + k, text("bb", 40), "bb") for k in range(40)] + [(77, "", "cc")]
+    docs = documents(rows + [(90, text("aa", 9), None), (91, text("bb", 9), None), (1, rows[1][1], "aa")])
+    model = language.learn(docs, sample_bytes=4000)
+    assert model.languages == ["aa", "bb"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert all(got[k] == "aa" for k in [*range(6), 90]) and all(got[10 + k] == "bb" for k in range(40)) and got[91] == "bb"
