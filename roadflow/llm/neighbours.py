@@ -107,17 +107,28 @@ def nearest(
     is fitted on at most ``sample_rows`` vectors, drawn by a hash of their id;
     every vector is indexed.  Equal vectors take one place on the curves and are
     all found with it; ties go to the smaller id.  Rows with a null id or with
-    vectors that are null, empty, zero or not finite take no part; vectors of
-    another length than the most common one of the sample are not comparable and
-    take no part either.  Fewer than ``k`` candidates give fewer rows.
+    vectors that are null, empty, zero or not finite take no part.  Vectors compare
+    with those of their own length; each length is an index of its own.  Fewer
+    than ``k`` candidates give fewer rows.
     """
     rows = usable_vectors(vectors, key, column)
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    parts = [
+        _nearest_of_length(rows if len(lengths) == 1 else rows.where(F.size("vector") == n), n, is_query, k, curves, axes, bits, share, piece_rows, sample_rows, seed)
+        for n in lengths or [1]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _nearest_of_length(
+    rows: DataFrame, dimension: int, is_query, k: int, curves: int, axes: int, bits: int, share: float, piece_rows: int, sample_rows: int, seed: int,
+) -> DataFrame:
     kind = np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64
     classes = cut_lineage(_distinct(rows, is_query, k + 1))
     sample = classes.select("vector").orderBy(F.xxhash64("rep")).limit(sample_rows).collect()
-    lengths = [len(r[0]) for r in sample]
-    dimension = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
-    fitted = np.array([r[0] for r in sample if len(r[0]) == dimension], np.float64).reshape(-1, dimension)
+    fitted = np.array([r[0] for r in sample], np.float64).reshape(-1, dimension)
     fitted /= np.maximum(np.linalg.norm(fitted, axis=1, keepdims=True), 1e-300)
     grids = _projections(fitted, curves, axes, bits, seed) if len(fitted) else []
 
@@ -146,16 +157,15 @@ def nearest(
                 [*batch.columns, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())], [*_RANKED.names, "part", "at"])
 
     numbered = T.StructType([*_RANKED.fields, T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])
-    comparable = classes.where(F.size("vector") == dimension)
     along = (
-        comparable.select("rep", "asked", "vector").mapInArrow(place, _RANKED)
+        classes.select("rep", "asked", "vector").mapInArrow(place, _RANKED)
         .repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
     )
     along = cut_lineage(along.mapInArrow(number, numbered))
     counts = along.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut_lineage(counts.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    total = comparable.count()
+    total = classes.count()
     reach = int(np.ceil(share * total / piece_rows))
     last = max(0, (total - 1) // piece_rows)
     pieces = along.join(starts, ["curve", "part"]).select(
@@ -182,8 +192,8 @@ def nearest(
         for at in range(0, len(asking) if len(order) else 0, 512):
             some = asking[at : at + 512]
             score = values[some] @ values[order].T / (norm[some][:, None] * norm[order])
-            score[ids[some][:, None] == ids[order]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            # The query's own class is one of those found, so that its copies score by the same arithmetic.
+            best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
             value = np.take_along_axis(score, best, 1)
             keep = np.isfinite(value)
             out.append((np.repeat(ids[some], best.shape[1]).reshape(best.shape)[keep], ids[order][best][keep], value[keep]))
@@ -193,12 +203,10 @@ def nearest(
     found = queries.unionByName(index).groupBy("curve", "to", "tile").applyInArrow(compare, _FOUND)
     merged = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    merged = merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    # A query's own class is found by definition, at the cosine of a vector with itself.
-    own = comparable.where("asked").select(F.col("rep").alias("query"), "rep", F.lit(1.0).alias("score"))
-    offered = merged.unionByName(own).join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    merged = merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    offered = merged.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").join(
-        comparable.where("asked").select("vector", F.col("rep").alias("query")), "vector").select("query_id", "query")
+        classes.where("asked").select("vector", F.col("rep").alias("query")), "vector").select("query_id", "query")
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(offered, "query").where("vec_id <> query_id")

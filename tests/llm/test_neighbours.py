@@ -17,12 +17,11 @@ def test_hilbert_curve_is_continuous():
 
 
 def _plain(rows, every, k=5):
-    length = len(rows[0][1])
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == length and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, v in good:
         if i % every == 0:
-            scored = sorted((-(v @ w) / (np.linalg.norm(v) * np.linalg.norm(w)), j) for j, w in good if j != i)
+            scored = sorted((-(v @ w) / (np.linalg.norm(v) * np.linalg.norm(w)), j) for j, w in good if j != i and len(w) == len(v))
             out[i] = [(j, -s) for s, j in scored[:k]]
     return out
 
@@ -78,3 +77,20 @@ def test_query_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = _plain(rows, 50)
     assert sum(len(got[q] & {j for j, _ in best}) for q, best in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_copies_score_by_the_measure_and_ties_go_to_the_smaller_id(spark):
+    table = spark.createDataFrame([(0, [0.1, 0.7, 0.3]), (1, [0.2, 1.4, 0.6]), (2, [0.1, 0.7, 0.3]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    (found,) = _found(table, 50).values()
+    assert [v for _, v, _ in found] == [1, 2, 3] and found[0][2] == found[1][2]
+    a = np.array([0.1, 0.7, 0.3])
+    assert abs(found[0][2] - a @ a / np.linalg.norm(a) ** 2) < 1e-15
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(8)
+    rows = [(10 * k, [float(x) for x in rng.normal(size=2 if k < 6 else 3)]) for k in range(11)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, want = _found(table, 50), _plain(rows, 50)
+    assert found.keys() == want.keys() == {0, 50, 100}
+    assert all([v for _, v, _ in found[q]] == [v for v, _ in want[q]] for q in want)
