@@ -8,7 +8,7 @@ from roadflow.catalog.registry import QUERIES, SQL
 
 _MODULES = [
     "scalars", "observations", "frames", "reports", "demand", "network",
-    "routing", "vehicles", "movement", "streams", "intervals", "maps", "profiles",
+    "routing", "vehicles", "movement", "streams", "intervals", "maps", "profiles", "stores",
 ]
 
 

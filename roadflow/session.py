@@ -60,6 +60,11 @@ def _own_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path not yet in use, in this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
