@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow.llm import decontaminate, jaccard, language, mixing, sharding
+from roadflow.llm.names import free_names
 from roadflow.session import cut_lineage
 
 SHARD_LIMIT = 32 << 20
@@ -17,14 +18,34 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
 
 
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a key that tells all its rows apart and follows ``doc_id``.
+
+    Where no id is null or repeated that is the id itself.  Otherwise the rows
+    are sorted by id, nulls last, then in their order in the table, numbered, and
+    written, as numbers have to stay the same when a part is computed anew.
+    """
+    doubtful = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if doubtful.isEmpty():
+        return docs.withColumn(key, F.col("doc_id"))
+    (place,) = free_names([*docs.columns, key], "place")
+    by_id = docs.withColumn(place, F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("doc_id"), place)
+    return cut_lineage(by_id.withColumn(key, F.monotonically_increasing_id()).drop(place))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles the one with the smallest id stays.
+    """Of rows linked by a Jaccard similarity of 0.8 over five-word shingles the one with the smallest id stays.
 
-    Rows with a null id are never linked and stay.
+    Equal texts are linked, so of a repeated row one stays; of rows linked under
+    one id the first in the table stays, and a null id comes after all others.
+    Rows of one id with texts that aren't alike all stay, and so do rows without
+    words, which are linked with nothing.
     """
-    groups = jaccard.near_duplicates(docs, width=5, numerator=80, denominator=100)
-    others = cut_lineage(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    (key,) = free_names(docs.columns, "row_key")
+    keyed = _with_key(docs, key)
+    groups = jaccard.near_duplicates(keyed, key=key, width=5, numerator=80, denominator=100)
+    others = cut_lineage(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(key)))
+    return keyed.join(others, key, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
