@@ -51,3 +51,22 @@ def test_run(spark, folder):
     assert all((r["doc_id"], r["text"]) in known for r in out)
     assert not {r["doc_id"] for r in out} & {300, 400, 500, 501, 502}
     assert [len(s) for s in pipeline.STAGES] == [2] * 5
+
+
+def test_repeated_and_null_ids(spark, documents, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(40)) for _ in range(8)]
+    near = texts[0] + " end"
+    rows = [(5, texts[0])] * 3 + [(2, near), (7, texts[1]), (7, texts[2]), (3, texts[1]), (None, texts[3]), (None, texts[3]), (None, texts[4]),
+            (9, texts[4]), (None, None), (None, None), (8, ""), (8, ""), (6, texts[5])]
+    path = str(tmp_path / "docs")
+    # Extra columns named like the temporary ones, whatever their case, are carried.
+    documents(rows).selectExpr("*", "doc_id * 2 AS Row_Key", "'x' AS place").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    kept = pipeline.keep_one_of_each_group(spark, docs, path)
+    assert kept.columns == [*COLUMNS, "Row_Key", "place"]
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert left == sorted([(2, near), (3, texts[1]), (7, texts[2]), (None, texts[3]), (9, texts[4]), (None, None), (None, None), (8, ""), (8, ""),
+                           (6, texts[5])], key=repr)
+    assert all(r["Row_Key"] is None or r["Row_Key"] == 2 * r["doc_id"] for r in kept.collect())
+    assert pipeline.keep_one_of_each_group(spark, docs.where("doc_id < 0"), path).isEmpty()
