@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadflow.llm.names import free_names
 from roadflow.session import cut_lineage
 
 #: Words are numbered below GROUPS * GROUPS; 0 stands beyond a text's ends, the next ones for all other words by a hash.
@@ -381,7 +382,8 @@ def score(
     columns = [c for c in docs.columns if c not in names and (keep_columns is None or c in keep_columns)]
     shared = docs.sparkSession.sparkContext.broadcast((words, packed(parameters)))
     full = counts is not None
-    extra = ["__chunk", "__at", "__others"] if full else []
+    words_in, chunk_id, row_at, found_in, added = free_names([*columns, *names], "__text", "__chunk", "__at", "__others", "__more")
+    extra = [chunk_id, row_at, found_in] if full else []
     totals, bits = np.zeros(0), 5
     if full:
         totals = np.log(np.array(class_totals(counts, words), np.float64) + 1)
@@ -415,16 +417,16 @@ def score(
         *docs.select(*columns).schema.fields, T.StructField("n_scored", T.LongType()),
         T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
     whole = T.StructType(schema.fields + [
-        T.StructField("__chunk", T.LongType()), T.StructField("__at", T.IntegerType()),
-        T.StructField("__others", T.ArrayType(_FOUND))])
-    out = docs.select(F.col(text).alias("__text"), *columns).mapInArrow(run, whole if full else schema)
+        T.StructField(chunk_id, T.LongType()), T.StructField(row_at, T.IntegerType()),
+        T.StructField(found_in, T.ArrayType(_FOUND))])
+    out = docs.select(F.col(text).alias(words_in), *columns).mapInArrow(run, whole if full else schema)
     if not full:
         return out
     out = cut_lineage(out)
-    sent = out.where(F.size("__others") > 0).select("__chunk", F.inline("__others"))
+    sent = out.where(F.size(found_in) > 0).select(F.col(chunk_id).alias("__chunk"), F.inline(found_in))
     table = _count_ranges(counts, bits).withColumn("__chunk", F.lit(None).cast("long"))
     parts = sent.unionByName(table).groupBy("range").applyInArrow(_looked_up, _PARTS)
-    more = parts.groupBy("__chunk").applyInArrow(_added, _MORE)
-    log_prob = F.col("log_prob") + F.coalesce("__more", F.lit(0.0))
-    return out.drop("__others").join(more, ["__chunk", "__at"], "left").select(
+    more = parts.groupBy("__chunk").applyInArrow(_added, _MORE).toDF(chunk_id, row_at, added)
+    log_prob = F.col("log_prob") + F.coalesce(added, F.lit(0.0))
+    return out.drop(found_in).join(more, [chunk_id, row_at], "left").select(
         *columns, "n_scored", log_prob.alias("log_prob"), F.when(F.col("n_scored") > 0, log_prob / F.col("n_scored")).alias("mean_log_prob"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from brute import greedy_pieces
 
 from roadflow.llm import pieces, scoring
@@ -211,3 +212,18 @@ def test_registered_training_scores(spark, documents):
     asked = documents([(1, " ".join(real)), (2, " ".join(mixed))])
     out = {r["doc_id"]: r["mean_log_prob"] for r in scoring.score(asked, words, scoring.train(docs, words), counts=counts).collect()}
     assert out[1] > out[2] + 0.5
+
+
+def test_scores_carry_columns_named_like_temporaries(spark, documents, tmp_path):
+    documents([(k, f"alpha beta w{k} gamma") for k in range(6)] + [(9, None)]).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    counts = scoring.word_counts(docs)
+    words, parameters = [b"alpha", b"beta"], scoring.initial()
+    plain = {r["doc_id"]: r["log_prob"] for r in scoring.score(docs, words, parameters, counts=counts).collect()}
+    names = ["__text", "__chunk", "__At", "__others", "__more"]
+    more = docs.selectExpr("*", *[f"doc_id + {k} AS {n}" for k, n in enumerate(names)])
+    out = scoring.score(more, words, parameters, counts=counts)
+    assert out.columns == [*more.columns, "n_scored", "log_prob", "mean_log_prob"]
+    rows = out.collect()
+    assert {r["doc_id"]: r["log_prob"] for r in rows} == pytest.approx(plain)
+    assert len(rows) == 7 and all(r[n] == r["doc_id"] + k for r in rows for k, n in enumerate(names))
