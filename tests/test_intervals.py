@@ -44,6 +44,15 @@ def test_restrictions_in_force(spark):
     assert network.winning_restriction(r, none).where("in_force = 0 AND speed IS NULL").count() == 300
 
 
+def test_records_and_pieces_meet_by_merging(spark):
+    """Both sides hold many rows per byte Spark sees, so neither may be taken for small and sent to the driver."""
+    r, w = spark.createDataFrame([(1, 1, 9, 5)], RECORDS), spark.createDataFrame([(1, 1, 9, 30.0, 0, 9)], WINDOWS)
+    for ask in (network.restrictions_in_force, network.winning_restriction):
+        plan = ask(r, w)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "piece" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_one_segment_with_ten_thousand_overlapping_windows(spark):
     windows = spark.range(10_000).select(
         F.col("id").alias("restriction_id"), F.lit(1).cast("long").alias("node_from"), F.lit(2).cast("long").alias("node_to"),
