@@ -241,3 +241,10 @@ def test_gap_filling_wraps_into_next_segment(spark):
 def test_bounding_box_clamps(spark):
     od = spark.createDataFrame([(80.0, 10.0, 60.0, 170.0)], "lat_from double, lon_from double, lat_to double, lon_to double")
     assert tuple(demand.bounding_box(od, 1.0, 1.0).first()) == (90.0, -150.0, 40.0, 180.0)
+
+
+def test_straight_line_near_the_axes(spark):
+    """Numbers below a thousandth are written without an exponent, digit by digit."""
+    pairs = [(0.000244140625, -0.000204), (-0.0002, 0.00101), (0.0, 14.5), (0.00012345678901234567, -50.0)]
+    got = spark.createDataFrame(pairs, "x double, y double").select("x", "y", s.straight_line(*map(F.col, "xyyx")).alias("line")).collect()
+    assert {r.line for r in got} == {f"LINESTRING ({x} {y}, {y} {x})" for x, y in pairs}
