@@ -59,3 +59,9 @@ def test_empty_input(spark):
     none = table(spark).where("false")
     assert ordering.with_neighbours(none, ["k"], ["t"], F.col("t"), ["x"]).count() == 0
     assert ordering.running_total(none, ["k"], ["t"], F.col("t"), {"s": F.col("x")}).count() == 0
+
+
+def test_neighbours_keep_all_partitions(spark):
+    """Shuffle partitions are not joined into a few large ones before the sorts."""
+    out = ordering.with_neighbours(table(spark), ["k"], ["t", "seq"], F.floor(F.col("t") / 17), ["x"])
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
