@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadflow.functions.scalars import mps_to_kph
 from roadflow.functions.service_level import service_level
-from roadflow.operators.ordering import time_order
+from roadflow.operators.ordering import spread, time_order
 
 SEGMENT = ["node_from", "node_to"]
 
@@ -91,14 +91,14 @@ def vehicles_ahead(probes: DataFrame, view: DataFrame, tolerance: int) -> DataFr
     )
     t = F.col("timestamp")
     blocks = F.sequence(F.floor((t - tolerance) / width), F.floor((t + tolerance) / width))
-    spread = records.withColumn("block", F.explode(blocks))
+    dealt = records.withColumn("block", F.explode(blocks))
     block_start = F.col("block") * width
     # Row kinds: 0 record, 1 time where the step function may change, 2 probe.
     turns = F.filter(
         F.array(F.greatest(t - tolerance, block_start), t + tolerance + 1), lambda x: x < F.col("block") * width + width
     )
-    record_rows = spread.select(*key, "block", "timestamp", "value", F.lit(0).alias("kind"))
-    turn_rows = spread.select(*key, "block", F.explode(turns).alias("timestamp")).select(
+    record_rows = dealt.select(*key, "block", "timestamp", "value", F.lit(0).alias("kind"))
+    turn_rows = dealt.select(*key, "block", F.explode(turns).alias("timestamp")).select(
         *key, "block", "timestamp", F.lit(None).cast("double").alias("value"), F.lit(1).alias("kind")
     )
     probe_rows = probes.select(
@@ -110,7 +110,7 @@ def vehicles_ahead(probes: DataFrame, view: DataFrame, tolerance: int) -> DataFr
         "probe_id",
         offset.alias("x"),
     )
-    union = record_rows.unionByName(turn_rows).unionByName(probe_rows, allowMissingColumns=True)
+    union = spread(record_rows.unionByName(turn_rows).unionByName(probe_rows, allowMissingColumns=True), *SEGMENT, "block")
     per_vehicle = W.partitionBy(*SEGMENT, "block", "vehicle_id")
     around = per_vehicle.orderBy("timestamp").rangeBetween(-tolerance, tolerance)
     swept = union.withColumn("peak", F.max("value").over(around)).where("kind > 0")

@@ -62,3 +62,10 @@ def test_service_level_ladder(spark):
     df = spark.createDataFrame(rows, "n long, len int, off double, lanes int")
     for r in df.select("*", service_level(F.col("n"), F.col("len"), F.col("off"), F.col("lanes")).alias("los")).collect():
         assert r.los == pytest.approx(want(r.n * 1609.344 / (max(200.0, r.len - r.off) * r.lanes)))
+
+
+def test_vehicles_ahead_keeps_all_partitions(spark):
+    """The rows of the sweep are dealt by a number of partitions that Spark doesn't lower."""
+    view = spark.createDataFrame([(1, 1, 2, 10, 5.0)], "vehicle_id long, node_from long, node_to long, timestamp long, offset_m double")
+    plan = obs.vehicles_ahead(view.withColumn("probe_id", F.lit(1)), view, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
