@@ -137,6 +137,25 @@ def test_state_of_the_range_join_does_not_grow_with_the_stream(spark, tmp_path):
     assert sizes["long"] <= 1.1 * sizes["short"] + 20
 
 
+def test_vehicles_ahead_keeps_no_pairs(spark, tmp_path):
+    """All records of a crowded segment within the tolerance: the state holds lists by window, not probe and vehicle."""
+    crowd = [(n, 1000 + n % 7, n, 1, 9, 5.0, float(n), 1000, True) for n in range(80)]
+    ahead, query = run(spark, tmp_path, lambda s: stateful.vehicles_ahead(*_sides(s), 10), cut(crowd, 40))
+    assert {r.probe_id: r.vehicles_ahead for r in ahead.collect()} == {n: 79 - n for n in range(80)}
+    held = [op["numRowsTotal"] for entry in query.recentProgress
+            for op in json.loads(entry.json if isinstance(entry.json, str) else json.dumps(entry))["stateOperators"]]
+    assert 0 < max(held) <= 10
+
+
+def test_vehicles_ahead_at_the_ends_of_the_tolerance(spark, tmp_path):
+    """Probes at the borders of the blocks of time, negative tolerance ends included, late records within the lateness."""
+    placed = [(n, t, n, 1, 9, 5.0, float(n), 1000, True) for n, t in enumerate([980, 999, 1000, 1001, 1019, 1020, 1021, 1030, 1040, 1041, 1000, 990])]
+    for tolerance in (0, 1, 10, 20):
+        ahead, _ = run(spark, tmp_path, lambda s, w=tolerance: stateful.vehicles_ahead(*_sides(s), w, "100 seconds"), cut(placed, 5), f"t{tolerance}")
+        want = {a[0]: len({b[2] for b in placed if abs(a[1] - b[1]) <= tolerance and b[6] > a[6] and b[2] != a[2]}) for a in placed}
+        assert {r.probe_id: r.vehicles_ahead for r in ahead.collect()} == want
+
+
 def test_record_time(spark):
     row = tables.with_datetime(spark.createDataFrame([(1704067207,)], "timestamp long")).first()
     assert str(row.datetime) == "2024-01-01 00:00:07"
