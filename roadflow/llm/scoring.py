@@ -72,30 +72,47 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_ASCII_LOWER).split()
 
 
-def _log_shares(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+#: Logits up to here have exponentials, and sums of these, within single precision.
+_FAR = 60.0
+
+
+def _near_zero(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The logits of inputs within -1 to 1, moved by a row's largest where the weights let them reach far."""
+    if not np.abs(weights).sum(0).max() + np.abs(bias).max() < _FAR:
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    return rows @ np.ones(rows.shape[1], rows.dtype)
 
 
 def _forward(p: Parameters, stream: np.ndarray, at: np.ndarray):
-    """Hidden layers and log-shares of the groups, and of the members of the true group, at each place."""
-    around = [stream[at + d] for d in range(-REACH, REACH + 1) if d]
-    hidden = p["near_bias"] + p["near"][0][around[0]]
+    """Hidden layers and logits of the groups, and of the members of the true group, at each place."""
+    around = [stream.take(at + d) for d in range(-REACH, REACH + 1) if d]
+    hidden = p["near"][0].take(around[0], 0)
     for k in range(1, 2 * REACH):
-        hidden += p["near"][k][around[k]]
+        hidden += p["near"][k].take(around[k], 0)
+    hidden += p["near_bias"]
     np.tanh(hidden, out=hidden)
-    group = stream[at] // GROUPS
-    groups = _log_shares(hidden @ p["group"] + p["group_bias"])
-    turned = np.tanh(hidden + p["shift"][group])
-    members = _log_shares(turned @ p["member"] + p["member_bias"][group])
-    return around, hidden, group, groups, turned, members
+    group, member = np.divmod(stream.take(at), GROUPS)
+    groups = hidden @ p["group"]
+    groups += p["group_bias"]
+    turned = p["shift"].take(group, 0)
+    turned += hidden
+    np.tanh(turned, out=turned)
+    members = turned @ p["member"]
+    members += p["member_bias"].take(group, 0)
+    return (around, hidden, group, member, _near_zero(groups, p["group"], p["group_bias"]), turned,
+            _near_zero(members, p["member"], p["member_bias"]))
 
 
 def log_likelihoods(p: Parameters, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(word | two words before, two words behind) at each place of the stream."""
-    _, _, group, groups, _, members = _forward(p, stream, at)
+    _, _, group, member, groups, _, members = _forward(p, stream, at)
     rows = np.arange(len(at))
-    return groups[rows, group] + members[rows, stream[at] % GROUPS]
+    true = groups[rows, group] + members[rows, member]
+    return true - np.log(_sums(np.exp(groups, out=groups))) - np.log(_sums(np.exp(members, out=members)))
 
 
 class Trainer:
@@ -112,30 +129,38 @@ class Trainer:
 
     def step(self, stream: np.ndarray, at: np.ndarray) -> None:
         p = self.p
-        around, hidden, group, groups, turned, members = _forward(p, stream, at)
+        around, hidden, group, member, d_groups, turned, d_members = _forward(p, stream, at)
         rows = np.arange(len(at))
-        d_groups, d_members = np.exp(groups), np.exp(members)
-        d_groups[rows, group] -= 1
-        d_members[rows, stream[at] % GROUPS] -= 1
-        in_group = np.zeros((len(at), GROUPS), np.float32)
+        for shares, true in ((d_groups, group), (d_members, member)):
+            np.exp(shares, out=shares)
+            shares /= _sums(shares)[:, None]
+            shares[rows, true] -= 1
+        in_group = np.zeros((len(at), GROUPS), hidden.dtype)
         in_group[rows, group] = 1
-        d_turned = (d_members @ p["member"].T) * (1 - turned * turned)
-        d_hidden = (d_groups @ p["group"].T + d_turned) * (1 - hidden * hidden)
+        d_turned = d_members @ p["member"].T
+        d_turned *= 1 - turned * turned
+        d_hidden = d_groups @ p["group"].T
+        d_hidden += d_turned
+        d_hidden *= 1 - hidden * hidden
         self._apply("group", hidden.T @ d_groups)
-        self._apply("group_bias", d_groups.sum(0))
+        self._apply("group_bias", _sums(d_groups.T))
         self._apply("member", turned.T @ d_members)
         self._apply("member_bias", in_group.T @ d_members)
         self._apply("shift", in_group.T @ d_turned)
-        self._apply("near_bias", d_hidden.sum(0))
+        self._apply("near_bias", _sums(d_hidden.T))
         for k, words in enumerate(around):
-            order = np.argsort(words.astype(np.uint16), kind="stable")
-            sorted_ = words[order]
+            words = words.astype(np.uint16)
+            order = np.argsort(words, kind="stable")
+            sorted_ = words.take(order)
             edge = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-            gradient = np.add.reduceat(d_hidden[order], edge)
-            touched = sorted_[edge]
-            squares = self.squares["near"][k]
-            squares[touched] += gradient * gradient
-            p["near"][k][touched] -= self.rate * gradient / np.sqrt(squares[touched])
+            gradient = np.add.reduceat(d_hidden.take(order, 0), edge)
+            touched = sorted_.take(edge)
+            squares = self.squares["near"][k].take(touched, 0)
+            squares += gradient * gradient
+            self.squares["near"][k][touched] = squares
+            gradient *= self.rate
+            gradient /= np.sqrt(squares, out=squares)
+            p["near"][k][touched] -= gradient
 
 
 def _streams(source: Iterator[pa.RecordBatch], column: int, numbers: WordNumbers, words: int = 1 << 18, others: list | None = None):
@@ -280,15 +305,11 @@ def _in_ranges(hashes: np.ndarray, bits: int) -> tuple[list[int], np.ndarray]:
 
 def _where_found(others: list[bytes], row: np.ndarray, n_rows: int, bits: int) -> pa.Array:
     """The different words by hash, range by range, with the rows of their places, in the list of the first of ``n_rows`` rows."""
-    coded = pa.array(others, pa.binary()).dictionary_encode()
-    hashes = _hashes(coded.dictionary.to_pylist())
-    order = np.argsort(hashes)
-    hashes, rank = hashes[order], np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    code = rank[coded.indices.to_numpy()]
-    row = row[np.argsort(code, kind="stable")].astype(np.uint16)
-    sizes = np.bincount(code, minlength=len(hashes)).astype(np.int32)
-    place = np.append(0, np.cumsum(sizes))
+    hashes = _hashes(others)
+    order = np.argsort(hashes, kind="stable")
+    hashes, row = hashes.take(order), row.take(order).astype(np.uint16)
+    place = np.append(np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])), len(hashes)) if others else np.zeros(1, np.int64)
+    hashes, sizes = hashes.take(place[:-1]), np.diff(place).astype(np.int32)
     filled, bound = _in_ranges(hashes, bits)
     found = [(k, slice(bound[k], bound[k + 1]), slice(place[bound[k]], place[bound[k + 1]])) for k in filled]
     parts = pa.StructArray.from_arrays([

@@ -52,6 +52,28 @@ def test_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-3
 
 
+def test_far_reaching_weights_stay_finite():
+    rng = np.random.default_rng(4)
+    stream, at = rng.integers(0, scoring.WORDS, 30), np.arange(2, 28)
+    for scale in (0.3, 40.0):
+        p = {n: (rng.normal(size=v.shape) * scale).astype(np.float32) for n, v in scoring.initial().items()}
+        wide = {n: v.astype(np.longdouble) for n, v in p.items()}
+        hidden = np.tanh(wide["near_bias"] + sum(wide["near"][k][stream[at + d]] for k, d in enumerate((-2, -1, 1, 2))))
+        group, member = np.divmod(stream[at], scoring.GROUPS)
+        want = 0
+        for x, bias, weights, true in (
+            (hidden, wide["group_bias"], wide["group"], group),
+            (np.tanh(hidden + wide["shift"][group]), wide["member_bias"][group], wide["member"], member),
+        ):
+            logits = (x[:, :, None] * weights).sum(1) + bias
+            top = logits.max(1)
+            want = want + logits[np.arange(len(at)), true] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        assert np.allclose(scoring.log_likelihoods(p, stream, at).astype(float), want.astype(float), rtol=1e-4, atol=1e-3)
+        trainer = scoring.Trainer(p)
+        trainer.step(stream, at)
+        assert all(np.isfinite(v).all() for v in trainer.p.values())
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(2)
     p = {n: rng.normal(size=v.shape).astype(np.float64) * 0.3 for n, v in scoring.initial().items()}
