@@ -9,6 +9,7 @@ from roadflow.catalog.registry import query
 from roadflow.catalog.routing import ROUTES_SQL, street_state
 from roadflow.catalog.vehicles import CLOCK_US, DUE, ROUND_US
 from roadflow.operators import movement, vehicles
+from roadflow.session import cut_lineage
 
 TOLERANCE_US = 2000000
 
@@ -23,7 +24,7 @@ def snapshot_view(fleet):
 
 def snapshot_queue(fleet, streets):
     """Vehicles waiting at their segment end, odd numbers behind even ones."""
-    here = vehicles.with_segments(fleet.where("active"), streets, streets.withColumn("speed_kph", F.col("max_speed_kph")))
+    here = vehicles.with_lengths(fleet.where("active"), streets)
     rank = (F.col("id") % 2 * 1000000000 + F.col("id")).alias("rank")
     return here.where(vehicles.at_segment_end()).select(
         vehicles.route_node(0).alias("node_from"), vehicles.route_node(1).alias("node_to"), F.col("id").alias("vehicle_id"),
@@ -32,16 +33,17 @@ def snapshot_queue(fleet, streets):
 
 
 def settled(spark, folder):
-    fleet, streets = i.vehicles(spark, folder), i.streets(spark, folder)
-    return movement.advance(
-        vehicles.due(fleet, CLOCK_US, ROUND_US), snapshot_queue(fleet, streets), snapshot_view(fleet), streets,
-        street_closures(spark, folder), TOLERANCE_US,
-    )
+    """The queues before the step, and the settled moves."""
+    # Only active vehicles have a part in a step; due ones, queues and view are read from one table of them.
+    streets, fleet = cut_lineage(i.streets(spark, folder)), cut_lineage(i.vehicles(spark, folder).where("active"))
+    queue = cut_lineage(snapshot_queue(fleet, streets))
+    return queue, movement.advance(
+        vehicles.due(fleet, CLOCK_US, ROUND_US), queue, snapshot_view(fleet), streets, street_closures(streets), TOLERANCE_US)
 
 
-def street_closures(spark, folder):
+def street_closures(streets):
     speed = F.when((F.col("node_from") + F.col("node_to")) % 37 == 0, 0).otherwise(F.col("max_speed_kph"))
-    return i.streets(spark, folder).withColumn("speed_kph", speed)
+    return streets.withColumn("speed_kph", speed)
 
 
 STEP_SQL = f"""
@@ -103,7 +105,7 @@ BASE = i.sql_with(i.STREETS_SQL, i.VEHICLES_SQL, ROUTES_SQL, STEP_SQL)
       nu AS time_offset_us, stays AS active, leaves, joins, silent FROM joined""",
 )
 def step_outcome(spark, folder):
-    return settled(spark, folder).select(
+    return settled(spark, folder)[1].select(
         "id", "phase", F.round("speed_mps", 6).alias("speed_mps"), F.col("new_index").alias("start_index"),
         F.round("new_m", 6).alias("start_distance_offset"), F.col("new_us").alias("time_offset_us"),
         F.col("stays_active").alias("active"), "leaves", "joins", "silent",
@@ -118,11 +120,10 @@ def step_outcome(spark, folder):
       SELECT node_from, node_to, count(*) AS waiting, CAST(sum(qid) AS BIGINT) AS checksum FROM kept GROUP BY ALL""",
 )
 def queue_split(spark, folder):
-    fleet, streets = i.vehicles(spark, folder), i.streets(spark, folder)
-    after = settled(spark, folder)
+    before, after = settled(spark, folder)
     order = F.struct(F.lit(1).alias("step"), "phase", F.col("vehicle_id").alias("rank"))
     arrivals = movement.arrivals_of(after).select("node_from", "node_to", "vehicle_id", order.alias("pos"))
-    queue = movement.queue_after(snapshot_queue(fleet, streets), after, arrivals)
+    queue = movement.queue_after(before, after, arrivals)
     return queue.groupBy("node_from", "node_to").agg(F.count("*").alias("waiting"), F.sum("vehicle_id").alias("checksum"))
 
 
@@ -142,7 +143,7 @@ def queue_split(spark, folder):
     FROM e""",
 )
 def step_records(spark, folder):
-    return movement.records(settled(spark, folder)).select(
+    return movement.records(settled(spark, folder)[1]).select(
         "vehicle_id", "sample", "timestamp", "node_from", "node_to", "segment_length",
         F.round("offset_m", 6).alias("offset_m"), F.round("speed_mps", 6).alias("speed_mps"), "active",
     )

@@ -111,6 +111,8 @@ def vehicles_ahead(probes: DataFrame, view: DataFrame, tolerance: int) -> DataFr
         offset.alias("x"),
     )
     union = spread(record_rows.unionByName(turn_rows).unionByName(probe_rows, allowMissingColumns=True), *SEGMENT, "block")
+    # One sort serves both windows over a vehicle's rows.
+    union = union.sortWithinPartitions(*SEGMENT, "block", "vehicle_id", "timestamp", "kind")
     per_vehicle = W.partitionBy(*SEGMENT, "block", "vehicle_id")
     around = per_vehicle.orderBy("timestamp").rangeBetween(-tolerance, tolerance)
     swept = union.withColumn("peak", F.max("value").over(around)).where("kind > 0")
@@ -133,7 +135,7 @@ def vehicles_ahead(probes: DataFrame, view: DataFrame, tolerance: int) -> DataFr
         turned.select(*SEGMENT, "block", "timestamp", "probe_id", probe.cast("int").alias("rank"), own.alias("own"), F.inline(sides))
         .where("v IS NOT NULL")
         .withColumn("code", F.dense_rank().over(here.orderBy("v")) - 1)
-        .withColumn("upto", F.col("code") + F.dense_rank().over(here.orderBy(F.desc("v"))) - 1)
+        .withColumn("upto", F.max("code").over(here))
         .withColumn("place", F.explode(F.sequence(F.lit(0), places - 1)))
         .withColumn("higher", F.expr("shiftright(code, 4 * place + 4)"))
         .withColumn("digit", F.expr("shiftright(code, 4 * place) & 15"))

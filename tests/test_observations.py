@@ -69,3 +69,14 @@ def test_vehicles_ahead_keeps_all_partitions(spark):
     view = spark.createDataFrame([(1, 1, 2, 10, 5.0)], "vehicle_id long, node_from long, node_to long, timestamp long, offset_m double")
     plan = obs.vehicles_ahead(view.withColumn("probe_id", F.lit(1)), view, 5)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_vehicles_ahead_sorts_three_times(spark):
+    view = spark.createDataFrame([(1, 1, 2, 10, 3.0)], "vehicle_id long, node_from long, node_to long, timestamp long, offset_m double")
+    probes = view.selectExpr("7L AS probe_id", "2L AS vehicle_id", "node_from", "node_to", "timestamp", "1D AS offset_m")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = obs.vehicles_ahead(probes, view, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count(" Sort [") == 3
