@@ -248,3 +248,22 @@ def test_straight_line_near_the_axes(spark):
     pairs = [(0.000244140625, -0.000204), (-0.0002, 0.00101), (0.0, 14.5), (0.00012345678901234567, -50.0)]
     got = spark.createDataFrame(pairs, "x double, y double").select("x", "y", s.straight_line(*map(F.col, "xyyx")).alias("line")).collect()
     assert {r.line for r in got} == {f"LINESTRING ({x} {y}, {y} {x})" for x, y in pairs}
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """An iteration writes many tables; the shuffle files of those written are gone before the driver collects its garbage."""
+    import glob
+    import os
+
+    from roadflow.session import cut_lineage
+
+    def files():
+        folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+        return {x for f in folders for x in glob.glob(os.path.join(f, "*", "shuffle_*.data"))}
+
+    kept, before = [], files()
+    for n in range(3):
+        rows = spark.range(20000).groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias(f"s{n}"))
+        kept.append((rows, cut_lineage(rows)))
+    assert not files() - before
+    assert [t.count() for _, t in kept] == [5000] * 3 and kept[0][0].count() == 5000
